@@ -20,50 +20,53 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _winners(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The size of each group and the row that stays: one aggregation step, for any rows that stand for _n rows each."""
-    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))
-    return rows.groupBy(*key).agg(F.max("_id").alias("_id"), F.max_by("_row", order).alias("_row"), F.sum("_n").alias("_n"))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256) -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, digest, row (the row's place in the input).
+    """One row per input row: ``id_col``, keep_id, group_size, kept, digest.
 
     Texts are equal when identical; a null text counts as empty. The row with the largest integer id stays; a null
-    id is below every other; of rows of one text that share the largest id, one stays. An empty table gives no rows.
+    id is below every other; of rows that repeat both id and text, one stays. An empty table gives no rows.
     Other columns of the input are not looked at, whatever their names. ``digest`` may be any function of the text
     (a weak one costs time, not correctness).
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"), F.lit(1).cast("long").alias("_n")
-    ).withColumn("_digest", digest(F.col("_text")))
-    salted = _winners(rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts))), ["_digest", "_salt", "_text"])
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    salted = (
+        rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+        .groupBy("_digest", "_salt", "_text")
+        .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    )
+    merged = salted.groupBy("_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     check = [F.xxhash64("_text").alias("_check"), F.octet_length("_text").alias("_bytes")]
     key = ["_digest", "_check", "_bytes"]  # what stands for a text from here on, unless two texts share it
-    winners = _winners(salted, ["_digest", "_text"]).select("_digest", *check, F.col("_id").alias("_keep"), F.col("_row").alias("_keep_row"), "_n")
-    winners = materialize(winners, "exact-winners")
-    slim = rows.select("_id", "_row", "_digest", *check)
+    winners = materialize(merged.select("_digest", *check, "_keep", "_n"), "exact-winners")
+    # rows alike in id and text are alike in all that follows
+    slim = rows.select("_id", "_digest", *check).groupBy("_id", *key).agg(F.count(F.lit(1)).alias("_rows"))
     shared = winners.groupBy(*key).agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select(*key)
     if shared.isEmpty():
         classed = slim.join(winners, key)
     else:
         few = rows.select("*", *check).join(shared, key, "left_semi")
-        by_text = _winners(few, [*key, "_text"]).withColumnsRenamed({"_id": "_keep", "_row": "_keep_row"})
-        classed = slim.join(shared, key, "left_anti").join(winners, key).unionByName(few.drop("_n").join(by_text, [*key, "_text"]).drop("_text"))
-    return classed.select(
+        by_text = few.groupBy(*key, "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+        full = few.groupBy("_id", *key, "_text").agg(F.count(F.lit(1)).alias("_rows")).join(by_text, [*key, "_text"]).drop("_text")
+        classed = slim.join(shared, key, "left_anti").join(winners, key).unionByName(full)
+    return classed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
-        (F.col("_row") == F.col("_keep_row")).alias("kept"),
+        (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_copy") == 1)).alias("kept"),
         F.col("_digest").alias("digest"),
-        F.col("_row").alias("row"),
+        F.col("_rows").alias("rows"),
     )
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, any one."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept")
+    kept = materialize(kept.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "rows"), "exact-kept")
+    marked = docs.withColumn("__digest", sha256(text_of(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (marked["__digest"] == kept["__digest"])
+    once = marked.join(kept.filter("rows = 1"), same, "left_semi")
+    more = marked.join(kept.filter("rows > 1"), same, "left_semi").dropDuplicates([id_col, "__digest"])
+    return once.unionByName(more).drop("__digest")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup, "op10_simhash": simhash.op10_simhash}
+    return {
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(exact_dedup.SQL)
+    return exact_dedup.SQL | decontaminate.SQL
