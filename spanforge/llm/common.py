@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,18 @@ def fold(of_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(of_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about max_bytes of the given binary column, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1])
+        group = np.cumsum(sizes, dtype=np.int64) // max_bytes
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 # --- words and hashes of a batch of texts, without a loop over words ---------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
