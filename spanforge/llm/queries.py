@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return exact_dedup.SQL | decontaminate.SQL
+    return exact_dedup.SQL | substring_dedup.SQL | decontaminate.SQL
