@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash, substring_dedup
+from . import decontaminate, exact_dedup, packing, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
 
