@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash, substring_dedup
+from . import decontaminate, exact_dedup, packing, simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
+        "op2_token_output": token_output.op2_token_output,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
