@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash, substring_dedup, token_output
+from . import decontaminate, exact_dedup, language, packing, quality, simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
         "op2_token_output": token_output.op2_token_output,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_quality": quality.op5_quality,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_language": language.op7_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
