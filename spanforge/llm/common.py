@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +148,50 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         factor = factor * 0xA0761D6478BD642F % (1 << 64) | 1
         out += words[i : i + n] * np.uint64(factor)
     return mix(out)
+
+
+# --- arrays in the shared folder -----------------------------------------------------------------------
+
+
+class SharedArrays:
+    """Files of the shared folder that workers write whole and map into memory. Sent to workers as its address only."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def _local(self, name: str) -> str | None:
+        path = self.uri.removeprefix("file://")
+        return None if "://" in path else os.path.join("/" + path.lstrip("/"), name)
+
+    def write(self, name: str, array: np.ndarray) -> None:
+        """Under another name first: a task that is run again or twice leaves whole files only."""
+        if path := self._local(name):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            own = f"{path}.{uuid.uuid4().hex}"
+            array.tofile(own)
+            os.replace(own, path)
+            return
+        fs, folder = pa.fs.FileSystem.from_uri(self.uri)
+        fs.create_dir(folder, recursive=True)
+        own = f"{folder}/{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(array.tobytes())
+        fs.move(own, f"{folder}/{name}")
+
+    def map(self, name: str, dtype) -> np.ndarray:
+        """Read-only; a file of a remote store is copied to a file that goes when the worker does."""
+        path = self._local(name)
+        if path:
+            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        fs, folder = pa.fs.FileSystem.from_uri(self.uri)
+        with tempfile.TemporaryFile() as own, fs.open_input_stream(f"{folder}/{name}") as f:
+            while part := f.read(1 << 24):
+                own.write(part)
+            own.flush()
+            return np.memmap(own, dtype, "r") if own.tell() else np.zeros(0, dtype)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that the shuffle files of finished work go from the disks."""
+    gc.collect()
+    spark._jvm.System.gc()
