@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, lm, packing, quality, simhash, substring_dedup, token_output
+from . import decontaminate, exact_dedup, language, lm, packing, pii, quality, simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_token_output": token_output.op2_token_output,
         "op3_lm_score": lm.op3_lm_score,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
