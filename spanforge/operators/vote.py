@@ -31,7 +31,7 @@ def votes(texts: DataFrame, scope: str, doc: str, confusions: list[tuple[str, st
             lambda s: s["old"].isin(olds),
         ),
     )[0]
-    places = texts.select(scope, doc, F.explode(known).alias("s")).select(scope, doc, "s.*")
+    places = texts.select(scope, doc, F.explode(known).alias("_place")).select(scope, doc, "_place.*")
     spark = texts.sparkSession
     pairs = F.broadcast(spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(confusions)], "old string, new string, rank int"))
     tried = places.join(pairs, "old")
