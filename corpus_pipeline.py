@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import decontaminate, exact_dedup, packing, quality, simhash
-from spanforge.llm.common import materialize, table
+from spanforge.llm.common import fresh, materialize, table
 from spanforge.llm.tokens import public_file
 
 #: A document stays if its score is at least this.
@@ -20,7 +20,8 @@ QUALITY = 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labelled ones among them."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="__score").filter(F.col("__score") >= QUALITY).drop("__score")
+    score = fresh(docs, "__score")
+    return quality.score(docs, model, out_col=score).filter(F.col(score) >= QUALITY).drop(score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

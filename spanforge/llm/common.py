@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +56,14 @@ def drop_shared(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever its case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, a null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -192,6 +201,11 @@ class SharedArrays:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that the shuffle files of finished work go from the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver drop what it no longer refers to, so that the shuffle files of finished work go from the disks.
+
+    The first round frees the driver's handles on them, the second what they held; removal itself runs beside.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import fresh, materialize, table, text_of
 
 SALTS = 64
 
@@ -60,13 +60,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, any one."""
+    mark, own = fresh(docs, "__digest"), fresh(docs, "__id")
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    kept = materialize(kept.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "rows"), "exact-kept")
-    marked = docs.withColumn("__digest", sha256(text_of(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (marked["__digest"] == kept["__digest"])
-    once = marked.join(kept.filter("rows = 1"), same, "left_semi")
-    more = marked.join(kept.filter("rows > 1"), same, "left_semi").dropDuplicates([id_col, "__digest"])
-    return once.unionByName(more).drop("__digest")
+    kept = materialize(kept.select(F.col(id_col).alias(own), F.col("digest").alias(f"{mark}_kept"), F.col("rows").alias(f"{mark}_rows")), "exact-kept")
+    marked = docs.withColumn(mark, sha256(text_of(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(f"{mark}_kept"))
+    once = marked.join(kept.filter(F.col(f"{mark}_rows") == 1), same, "left_semi")
+    more = marked.join(kept.filter(F.col(f"{mark}_rows") > 1), same, "left_semi").dropDuplicates([id_col, mark])
+    return once.unionByName(more).drop(mark)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

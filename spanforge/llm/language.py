@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, slices, table, text_of
+from .common import fold, fresh, materialize, slices, table, text_of
 
 #: Bounds of the fit: documents to learn from, words and n-grams (of each length) kept, per language.
 LANG_DOCS, LANG_WORDS, LANG_GRAMS, MAX_GRAM = 3000, 40_000, 10_000, 4
@@ -102,7 +102,11 @@ def evidence(model: dict, token: str) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score: ``und`` and 0 for a null text, a text without letters, or without any language learned."""
+    """The rows of ``docs`` with lang_pred and score: ``und`` and 0 for a null text, a text without letters, or without any language learned.
+
+    They take the place of columns of those names.
+    """
+    docs = docs.drop("lang_pred", "score")
     langs = model["langs"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -139,7 +143,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             keep = [i for i in range(batch.num_columns) if i != at_text]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
 
-    rows = docs.withColumn("__text", F.col(text_col).cast("binary"))
+    rows = docs.withColumn(fresh(docs, "__text"), F.col(text_col).cast("binary"))
     at_text = len(rows.columns) - 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedArrays, fold, join_words, materialize, release, shared_path, slices, span_hashes, table, word_bounds
+from .common import SharedArrays, fold, fresh, join_words, materialize, release, shared_path, slices, span_hashes, table, word_bounds
 
 BATCH_BYTES = 1 << 22
 END = np.uint64(0x0123456789ABCDEF)
@@ -354,8 +354,12 @@ def op3_lm_score(spark, sf_dir: str) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score."""
-    rows = docs.withColumn("__text", F.col(text_col).cast("binary")).drop(text_col)
+    """The rows of ``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score (in place of columns of those names).
+
+    A null text is empty: its end alone is scored.
+    """
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = docs.withColumn(fresh(docs, "__text"), F.col(text_col).cast("binary")).drop(text_col)
     at = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A candidate: letters, digits and joining marks with a digit or an at sign inside, of six characters or more.
-_CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9+(][A-Za-z0-9@._%+()-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_%+-])"
+_CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9+(][A-Za-z0-9@._%+()-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_%+-])"
 _LEFT_CHARS, _LEFT_WORDS = 48, 2
 
 
@@ -63,7 +63,7 @@ def base_spans(text: Column) -> Column:
     """array of (kind, start, end, value) of the base definitions, by kind, then start."""
     ok = {
         "email": lambda s: F.lit(True),
-        "ip": lambda s: F.forall(F.split(s["value"], r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (p.cast("decimal(38,0)") <= 255)),
+        "ip": lambda s: F.forall(F.split(s["value"], r"\."), lambda p: p.rlike(r"\A0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])\z")),
         "card": lambda s: _luhn(_digits(s["value"])),
         "phone": lambda s: F.length(_digits(s["value"])).between(8, 15),
     }

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, join_words, slices, span_hashes, table, text_of, word_bounds
+from .common import fold, fresh, join_words, slices, span_hashes, table, text_of, word_bounds
 
 PASSAGE_WORDS, TRAIN_DOCS, HIDDEN, ATTENTION, EPOCHS = 50, 6000, 24, 12, 40
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -175,19 +175,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_do
 
 
 def score(docs: DataFrame, model: BagModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The rows of ``docs`` with the score of each whole text (0 to 1); a null or empty text is one blank passage."""
+    """The rows of ``docs`` with the score of each whole text (0 to 1) as ``out_col``, in place of a column of that name.
+
+    A null or empty text is one blank passage.
+    """
+    docs = docs.drop(out_col)
+    own = fresh(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = None
         for batch in slices(batches, batch_column):
             if place is None:
-                place = batch.schema.get_field_index("__text")
+                place = batch.schema.get_field_index(own)
             x, sizes = passages(batch.column(place).to_pylist())
             y = model.forward(x, sizes)["y"]
-            names = [n for n in batch.schema.names if n != "__text"]
+            names = [n for n in batch.schema.names if n != own]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(y)], [*names, out_col])
 
-    rows = docs.withColumn("__text", F.col(text_col).cast("binary"))
+    rows = docs.withColumn(own, F.col(text_col).cast("binary"))
     batch_column = len(rows.columns) - 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(run, f"{schema}, `{out_col}` double")
