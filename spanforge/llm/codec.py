@@ -25,8 +25,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"SFT1"
-BLOCK, RENEW = 4096, 64
-_SLOTS1, _SLOTS2 = 1024, 2048
+BLOCK, RENEW = 1024, 64
+_SLOTS1, _SLOTS2 = 512, 1024
 _CLASSES = 64
 _WORD = np.uint64(16)
 _FULL = np.uint64(1 << 48)
