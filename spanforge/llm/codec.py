@@ -27,133 +27,137 @@ import numpy as np
 MAGIC = b"SFT1"
 BLOCK, RENEW = 1024, 64
 _SLOTS1, _SLOTS2 = 512, 1024
-_CLASSES = 64
-_WORD = np.uint64(16)
-_FULL = np.uint64(1 << 48)
-_LOW32 = np.uint64((1 << 32) - 1)
+_CLASSES = 32
+_FULL, _LOW32 = 1 << 48, (1 << 32) - 1
 _PROB = 16
 
 
-def class_starts(vocabulary: int) -> np.ndarray:
-    """The first id of each class: narrow classes for low ids, which merge-based vocabularies use most."""
-    edges = np.unique(np.round(np.geomspace(1, max(vocabulary, 2), _CLASSES)).astype(np.int64))
-    return np.r_[0, edges[edges < vocabulary]]
+def id_classes(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first id of each class and the binary logarithm of its size: four classes to an octave, none below a least size
+    that lets ``_CLASSES`` classes hold all ids. Merge-based vocabularies use low ids most."""
+    least = 1
+    while True:
+        starts, bits, at = [], [], 0
+        while at < vocabulary:
+            width = max(least.bit_length() - 1, at.bit_length() - 3)
+            starts.append(at)
+            bits.append(width)
+            at += 1 << width
+        if len(starts) <= _CLASSES:
+            break
+        least *= 2
+    rest = _CLASSES - len(starts)
+    return np.array(starts + [at] * rest, np.int64), np.array(bits + [0] * rest, np.int64)
 
 
 class _Model:
-    """The state of all blocks; encoder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, starts: np.ndarray, vocabulary: int):
-        self.lane = np.arange(lanes)
-        self.starts = starts
-        self.sizes = np.diff(np.r_[starts, vocabulary])
-        self.n_classes = len(starts)
-        self.pred1 = np.zeros(lanes * _SLOTS1, np.int32)
-        self.pred2 = np.zeros(lanes * _SLOTS2, np.int32)
-        self.sure1 = np.zeros(lanes * _SLOTS1, np.int8)
-        self.sure2 = np.zeros(lanes * _SLOTS2, np.int8)
-        self.right1 = np.full(lanes * 4, 1 << 12, np.int64)
-        self.right2 = np.full(lanes * 4, 1 << 12, np.int64)
-        self.counts = np.ones((lanes, self.n_classes), np.int64)
-        self.before1 = np.zeros(lanes, np.int64)
-        self.before2 = np.zeros(lanes, np.int64)
+    """The state of all blocks; encoder and decoder drive it alike. A table slot holds 4 * id + confidence."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        lane = np.arange(lanes, dtype=np.int64)
+        self.starts, self.bits = id_classes(vocabulary)
+        self.base1, self.base2, self.base4, self.base32, self.base33 = (lane * n for n in (_SLOTS1, _SLOTS2, 4, _CLASSES, _CLASSES + 1))
+        self.table1, self.table2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
+        self.right1, self.right2 = np.full(lanes * 4, 1 << 12, np.int64), np.full(lanes * 4, 1 << 12, np.int64)
+        self.counts = np.ones((lanes, _CLASSES), np.int64)
+        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
     def predict(self) -> None:
         if self.step % RENEW == 0:
-            total = self.counts.sum(axis=1, keepdims=True)
-            freq = 1 + self.counts * ((1 << _PROB) - self.n_classes) // total
-            freq[:, -1] += (1 << _PROB) - freq.sum(axis=1)
-            self.cum = np.zeros((len(self.lane), self.n_classes + 1), np.int64)
-            np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-            self.flat = (self.cum + (self.lane[:, None] << (_PROB + 1))).ravel()
-        self.at1 = self.lane * _SLOTS1 + (self.before1 * 40503 >> 3) % _SLOTS1
-        self.at2 = self.lane * _SLOTS2 + (self.before1 * 40503 + self.before2 * 30011 >> 2) % _SLOTS2
-        self.p1, self.p2 = self.pred1[self.at1], self.pred2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.e1, self.e2 = self.lane * 4 + self.c1, self.lane * 4 + self.c2
-        self.f2 = self.right2[self.e2]
+            freq = 1 + self.counts * ((1 << _PROB) - _CLASSES) // self.counts.sum(axis=1, keepdims=True)
+            freq[:, 0] += (1 << _PROB) - freq.sum(axis=1)
+            cum = np.zeros((len(self.base1), _CLASSES + 1), np.int64)
+            np.cumsum(freq, axis=1, out=cum[:, 1:])
+            self.cum = cum.ravel()
+        near = self.before1 * 40503
+        self.at1 = self.base1 + (near >> 3 & _SLOTS1 - 1)
+        self.at2 = self.base2 + (near + self.before2 * 30011 >> 2 & _SLOTS2 - 1)
+        v1, v2 = self.table1[self.at1], self.table2[self.at2]
+        self.p1, self.p2, self.c1, self.c2 = v1 >> 2, v2 >> 2, v1 & 3, v2 & 3
+        self.e1, self.e2 = self.base4 + self.c1, self.base4 + self.c2
+        self.g1, self.f2 = self.right1[self.e1], self.right2[self.e2]
         # what order 2 leaves is shared between order 1 and the escape; none of the three is ever impossible
-        self.f1 = 16 + ((65536 - 64 - self.f2) * self.right1[self.e1] >> _PROB)
-
-    def bounds(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.lane * (self.n_classes + 1) + classes
-        return self.cum.ravel()[at], self.cum.ravel()[at + 1]
+        self.f1 = 16 + ((65472 - self.f2) * self.g1 >> _PROB)
+        self.f12 = self.f1 + self.f2
 
     def class_at(self, value: np.ndarray) -> np.ndarray:
-        """The class whose bounds hold the value: all blocks' bounds are one ascending list, 2^16 apart."""
-        return np.searchsorted(self.flat, value + (self.lane << (_PROB + 1)), side="right") - 1 - self.lane * (self.n_classes + 1)
+        """The class whose bounds hold the value, by halving."""
+        found = np.zeros(len(value), np.int64)
+        step = _CLASSES // 2
+        while step:
+            found += step * (value >= self.cum[self.base33 + found + step])
+            step //= 2
+        return found
 
     def learn(self, ids: np.ndarray, classes: np.ndarray, escaped: np.ndarray) -> None:
         hit1, hit2 = self.p1 == ids, self.p2 == ids
-        self.right2[self.e2] += np.where(hit2, 65472 - self.f2, 32 - self.f2) >> 4
-        old = self.right1[self.e1]
-        self.right1[self.e1] = old + (np.where(hit1, 65472 - old, 32 - old) >> 4)
-        self.pred1[self.at1] = ids
-        self.pred2[self.at2] = ids
-        self.sure1[self.at1] = np.where(hit1, np.minimum(self.c1 + 1, 3), 0)
-        self.sure2[self.at2] = np.where(hit2, np.minimum(self.c2 + 1, 3), 0)
-        self.counts[self.lane, classes] += np.where(escaped, 32, 0)
+        self.right1[self.e1] = self.g1 + (hit1 * 65440 + 32 - self.g1 >> 4)
+        self.right2[self.e2] = self.f2 + (hit2 * 65440 + 32 - self.f2 >> 4)
+        slot = ids << 2
+        self.table1[self.at1] = slot + hit1 * np.minimum(self.c1 + 1, 3)
+        self.table2[self.at2] = slot + hit2 * np.minimum(self.c2 + 1, 3)
+        self.counts.ravel()[self.base32 + classes] += escaped * 32
         self.before2, self.before1 = self.before1, ids
         self.step += 1
 
 
 class _Writer:
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-        self.out = np.zeros((lanes, words), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
+        self.words = words
+        self.out = np.zeros(lanes * words, np.uint16)
+        self.at = np.arange(lanes) * words
 
-    def code(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range // total
+    def narrow(self, cum: np.ndarray, freq: np.ndarray | int, shift: np.ndarray | int) -> None:
+        r = self.range >> shift
         self.low += r * cum
         self.range = r * freq
+
+    def flush(self) -> None:
+        """Write what is settled, so that ranges are above 32 bits again."""
         over = np.flatnonzero(self.low >= _FULL)
         if len(over):
             self.low[over] -= _FULL
             back = self.at[over] - 1
-            while len(over):  # a carry into the words before
-                self.out[over, back] += np.uint16(1)
-                more = self.out[over, back] == 0
-                over, back = over[more], back[more] - 1
+            while len(back):  # a carry into the words before
+                self.out[back] += np.uint16(1)
+                back = back[self.out[back] == 0] - 1
         while len(small := np.flatnonzero(self.range <= _LOW32)):
             x = self.low[small]
-            self.out[small, self.at[small]] = x >> np.uint64(32)
+            self.out[self.at[small]] = x >> 32
             self.at[small] += 1
-            self.low[small] = (x & _LOW32) << _WORD
-            self.range[small] <<= _WORD
+            self.low[small] = (x & _LOW32) << 16
+            self.range[small] <<= 16
 
     def close(self) -> list[bytes]:
-        lane = np.arange(len(self.at))
         for shift in (32, 16, 0):
-            self.out[lane, self.at] = self.low >> np.uint64(shift) & np.uint64(0xFFFF)
+            self.out[self.at] = self.low >> shift & 0xFFFF
             self.at += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.at.tolist(), strict=True)]
+        return [self.out[i * self.words : end].astype("<u2").tobytes() for i, end in enumerate(self.at.tolist())]
 
 
 class _Reader:
     def __init__(self, words: np.ndarray, first: np.ndarray):
         """words: of all blocks; first: where each block's begin."""
-        self.words = np.r_[words, np.zeros(4, words.dtype)].astype(np.uint64)
-        self.end = len(self.words) - 1
+        self.words = np.r_[words, np.zeros(4, words.dtype)].astype(np.int64)
         self.at = first + 3
-        self.value = (self.words[first] << np.uint64(32)) | (self.words[first + 1] << _WORD) | self.words[first + 2]
-        self.range = np.full(len(first), (1 << 48) - 1, np.uint64)
+        self.value = (self.words[first] << 32) | (self.words[first + 1] << 16) | self.words[first + 2]
+        self.range = np.full(len(first), _FULL - 1, np.int64)
 
-    def peek(self, total: np.ndarray) -> np.ndarray:
-        self.r = self.range // total
-        return np.minimum(self.value // self.r, total - np.uint64(1)).astype(np.int64)
+    def peek(self, shift: np.ndarray | int) -> np.ndarray:
+        self.r = self.range >> shift
+        return self.value // self.r
 
-    def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
+    def take(self, cum: np.ndarray, freq: np.ndarray | int) -> None:
         self.value -= self.r * cum
         self.range = self.r * freq
+
+    def fill(self) -> None:
         while len(small := np.flatnonzero(self.range <= _LOW32)):
-            self.value[small] = (self.value[small] << _WORD) | self.words[np.minimum(self.at[small], self.end)]
+            self.value[small] = (self.value[small] << 16) | self.words[np.minimum(self.at[small], len(self.words) - 1)]
             self.at[small] += 1
-            self.range[small] <<= _WORD
-
-
-_u = lambda x: x.astype(np.uint64)
+            self.range[small] <<= 16
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
@@ -162,26 +166,27 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
     if not lanes:
         return []
     steps = min(block, len(ids))
-    starts = class_starts(vocabulary)
-    model = _Model(lanes, starts, vocabulary)
+    model = _Model(lanes, vocabulary)
     table = np.zeros(lanes * steps, np.int64)
     table[: len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    class_of = np.repeat(np.arange(len(starts)), model.sizes)
-    coder = _Writer(lanes, 3 * steps + 8)
-    flags, one = np.full(lanes, 1 << _PROB, np.uint64), np.ones(lanes, np.uint64)
+    used = model.bits[: np.searchsorted(model.starts, vocabulary)]
+    class_of = np.repeat(np.arange(len(used)), 1 << used)
+    coder = _Writer(lanes, 4 * steps + 8)
     for x in table:
         model.predict()
         f1, f2 = model.f1, model.f2
         is2 = x == model.p2
         is1 = ~is2 & (x == model.p1)
-        escaped = ~(is1 | is2)
-        coder.code(_u(np.where(is2, 0, np.where(is1, f2, f1 + f2))), _u(np.where(is2, f2, np.where(is1, f1, 65536 - f1 - f2))), flags)
+        esc = ~(is1 | is2)
+        coder.narrow((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (65536 - model.f12), 16)
+        coder.flush()
         c = class_of[x]
-        low, high = model.bounds(c)
-        coder.code(_u(np.where(escaped, low, 0)), _u(np.where(escaped, high - low, 1)), np.where(escaped, flags, one))
-        coder.code(_u(np.where(escaped, x - starts[c], 0)), one, np.where(escaped, _u(model.sizes[c]), one))
-        model.learn(x, c, escaped)
+        low = model.cum[model.base33 + c]
+        coder.narrow(low * esc, 1 + esc * (model.cum[model.base33 + c + 1] - low - 1), esc * 16)
+        coder.narrow((x - model.starts[c]) * esc, 1, model.bits[c] * esc)
+        coder.flush()
+        model.learn(x, c, esc)
     return coder.close()
 
 
@@ -190,30 +195,31 @@ def decode_blocks(payloads: list[bytes], n_ids: int, vocabulary: int, block: int
     if not lanes:
         return np.zeros(0, np.int64)
     steps = min(block, n_ids)
-    starts = class_starts(vocabulary)
-    model = _Model(lanes, starts, vocabulary)
-    class_of = np.repeat(np.arange(len(starts)), model.sizes)
+    model = _Model(lanes, vocabulary)
+    used = model.bits[: np.searchsorted(model.starts, vocabulary)]
+    class_of = np.repeat(np.arange(len(used)), 1 << used)
     lengths = np.array([len(p) // 2 for p in payloads])
     coder = _Reader(np.frombuffer(b"".join(payloads), "<u2"), np.cumsum(lengths) - lengths)
-    flags, one = np.full(lanes, 1 << _PROB, np.uint64), np.ones(lanes, np.uint64)
     table = np.empty((steps, lanes), np.int64)
     for step in range(steps):
         model.predict()
         f1, f2 = model.f1, model.f2
-        v = coder.peek(flags)
+        v = np.minimum(coder.peek(16), 65535)
         is2 = v < f2
-        is1 = ~is2 & (v < f1 + f2)
-        escaped = ~(is1 | is2)
-        coder.take(_u(np.where(is2, 0, np.where(is1, f2, f1 + f2))), _u(np.where(is2, f2, np.where(is1, f1, 65536 - f1 - f2))))
-        v = coder.peek(np.where(escaped, flags, one))
-        c = model.class_at(v)
-        low, high = model.bounds(c)
-        coder.take(_u(np.where(escaped, low, 0)), _u(np.where(escaped, high - low, 1)))
-        v = coder.peek(np.where(escaped, _u(model.sizes[c]), one))
-        coder.take(_u(np.where(escaped, v, 0)), one)
-        x = np.where(is2, model.p2, np.where(is1, model.p1, starts[c] + v))
+        is1 = ~is2 & (v < model.f12)
+        esc = ~(is1 | is2)
+        coder.take((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (65536 - model.f12))
+        coder.fill()
+        c = model.class_at(np.minimum(coder.peek(esc * 16), 65535))
+        low = model.cum[model.base33 + c]
+        coder.take(low * esc, 1 + esc * (model.cum[model.base33 + c + 1] - low - 1))
+        bits = model.bits[c] * esc
+        v = np.minimum(coder.peek(bits), (1 << bits) - 1) * esc
+        coder.take(v, 1)
+        coder.fill()
+        x = is2 * model.p2 + is1 * model.p1 + esc * (model.starts[c] + v)
         table[step] = x
-        model.learn(x, class_of[x], escaped)
+        model.learn(x, class_of[x], esc)
     return table.T.ravel()[:n_ids]
 
 
