@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int
         for batch in slices(batches, 1):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text.decode() if text else "") + end
+                ids = ids_of(text or b"") + end
                 n = len(ids) // 4
                 rows += [(doc, i, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)])) for i, s in enumerate(range(0, n, size))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -45,7 +45,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int = VOCABULARY,
 
         for batch in slices(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids_of(text.decode()), "<u4")
+                ids = np.frombuffer(ids_of(text), "<u4")
                 docs.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc)
                 n += len(docs[-1])
