@@ -1,4 +1,3 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from spanforge.functions import predicates as P
@@ -160,4 +159,3 @@ def test_stream(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     batch = html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
