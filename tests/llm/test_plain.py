@@ -1,6 +1,5 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
-import hashlib
 import math
 import random
 import re
@@ -446,4 +445,3 @@ def test_pipeline(spark, folder):
     assert kept[3] == {i for i in kept[2] if len(hits[i][2]) < 2} and 303 not in kept[3]
     packed = pipeline.run(spark, sf).toPandas()
     assert set(packed.doc_id) == kept[3]
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
