@@ -19,9 +19,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, join_words, materialize, slices, span_hashes, table, text_of, word_bounds
+from .common import gram_hashes, join_words, materialize, mix, release, slices, span_hashes, table, text_of, word_bounds
 
 WINDOW = 20
+#: Keys of whole copies up to this number are broadcast, after a count: 16 bytes each.
+BROADCAST_COPIES = 2_000_000
 
 
 def _inside(counts: np.ndarray, k: int) -> np.ndarray:
@@ -109,7 +111,9 @@ def _removal(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         covered = np.zeros(len(words) + 1, np.int64)
         lists = batch.column(3)
         sizes = np.nan_to_num(np.diff(lists.offsets.to_numpy()))
-        cut = [lists.flatten().to_numpy().astype(np.int64) + np.repeat(first, sizes)]
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        cut = [(flat + np.repeat(first, sizes))[flat >= 0]]
+        cut += [np.arange(first[i], first[i] + max(counts[i] - window + 1, 0)) for i in np.repeat(np.arange(len(sizes)), sizes)[flat < 0]]
         starts = np.flatnonzero(_inside(counts, window))
         if len(starts):
             doc = np.searchsorted(np.cumsum(counts), starts, side="right")
@@ -137,17 +141,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*key, F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("shown"))
 
 
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128 bits of hash of each text's word sequence."""
+    for batch in slices(batches, 2):
+        words, counts = _hashes(batch.column(2).to_pylist())
+        first = np.cumsum(counts) - counts
+        place = (np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64)
+        both = []
+        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            spread = mix(words + mix(place * np.uint64(seed) + np.uint64(1)))
+            total = np.add.reduceat(np.r_[spread, np.uint64(0)], np.minimum(first, len(words))) * (counts > 0)
+            both.append(pa.array(mix(total + counts.astype(np.uint64)).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], ["id", "hash", "a", "b"])
+
+
+def whole_copies(keyed: DataFrame) -> DataFrame:
+    """id, hash of the texts all of whose words are, in order, those of a text of smaller id: every window of theirs repeats."""
+    wholes = keyed.mapInArrow(_wholes, "id long, hash long, a long, b long")
+    first = wholes.groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "least")
+    return materialize(wholes.join(first, ["a", "b"]).filter("id > least").select("id", "hash").distinct(), "copies")
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash, starts: where windows start that also start in a text of smaller id (repeats within a text not included)."""
-    keyed = _keyed(docs, id_col, text_col)
-    anchors = keyed.select("id", "hash", "text").mapInArrow(lambda it: _anchors(it, window), "half long, id long, hash long, pos int")
+    """id, hash, starts: where windows start that also start in a text of smaller id (repeats within a text not included).
+
+    starts is [-1] for a text that is a whole copy: all of its windows do. Such texts need no levels, and the first of
+    their kind stands for them at every level.
+    """
+    keyed = _keyed(docs, id_col, text_col).select("id", "hash", "text")
+    copies = whole_copies(keyed)
+    few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    keyed = keyed.join(F.broadcast(copies) if few else copies, ["id", "hash"], "left_anti")
+    anchors = keyed.mapInArrow(lambda it: _anchors(it, window), "half long, id long, hash long, pos int")
     again = anchors.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     places = anchors.join(again, "half").groupBy("id", "hash").agg(F.collect_list("pos").alias("places"))
     places = materialize(places, "anchors")
-    windows = keyed.select("id", "hash", "text").join(places, ["id", "hash"]).mapInArrow(lambda it: _windows(it, window), "w long, check int, id long, hash long, start int")
+    release(docs.sparkSession)
+    windows = keyed.join(places, ["id", "hash"]).mapInArrow(lambda it: _windows(it, window), "w long, check int, id long, hash long, start int")
     first = windows.groupBy("w", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "check", "least")
     later = windows.join(first, ["w", "check"]).filter("id > least")
-    return materialize(later.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")), "repeats")
+    starts = later.groupBy("id", "hash").agg(F.collect_list("start").alias("starts"))
+    starts = materialize(starts.unionByName(copies.withColumn("starts", F.array(F.lit(-1)))), "repeats")
+    release(docs.sparkSession)
+    return starts
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
