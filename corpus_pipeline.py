@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, exact_dedup, packing, quality, simhash
+from spanforge.llm import decontaminate, exact_dedup, near, packing, quality
 from spanforge.llm.common import fresh, materialize, table
 from spanforge.llm.tokens import public_file
 
@@ -30,9 +30,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that of the smallest doc_id (all its rows, should they repeat the doc_id)."""
-    groups = simhash.simhash_groups(docs)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """One document of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles, that of the
+    smallest doc_id (all its rows, should they repeat the doc_id)."""
+    groups = materialize(near.near_groups(docs), "near-groups")
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    gone = groups.join(least, "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti")
 
 

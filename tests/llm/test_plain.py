@@ -445,3 +445,49 @@ def test_pipeline(spark, folder):
     assert kept[3] == {i for i in kept[2] if len(hits[i][2]) < 2} and 303 not in kept[3]
     packed = pipeline.run(spark, sf).toPandas()
     assert set(packed.doc_id) == kept[3]
+
+
+def plain_shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, few):
+    import corpus_pipeline as pipeline
+    from spanforge.llm import near
+
+    monkeypatch.setattr(near, "FEW_PAIRS", few)  # stars first, or pairs at once
+    rng = random.Random(27)
+    common = sentence(rng, 40)
+    rows = [(i, f"{sentence(rng, rng.randint(1, 80))} {common if i % 3 == 0 else ''}") for i in range(80)]
+    for i in range(40):  # copies at 0.8 to 0.95 and around: some words of 200 changed
+        words = sentence(rng, 200).split()
+        rows.append((1000 + i, " ".join(words)))
+        for at in rng.sample(range(200), 1 + i % 6):
+            words[at] = f"new{i}"
+        rows.append((2000 + i, " ".join(words)))
+    base = sentence(rng, 150).split()
+    for i in range(40):  # one large group, not all pairs of which are near
+        words = list(base)
+        for at in rng.sample(range(150), 1 + i % 3):
+            words[at] = f"own{i}"
+        rows.append((3000 + i, " ".join(words)))
+    rows += [(5000, ""), (5001, " "), (5002, "a b"), (5003, "A  b"), (5004, "a b c d e f"), (5005, "a b c d e g")]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = groups_of(sets, lambda a, b: alike(sets[a], sets[b]))
+    planted = [i for i in range(40) if alike(sets[1000 + i], sets[2000 + i])]
+    far = [i for i in planted if (plain_fingerprint(dict(rows)[1000 + i]) ^ plain_fingerprint(dict(rows)[2000 + i])).bit_count() > 3]
+    assert len(planted) > 20 and far  # what 3 bits leave
+    kept = {r.doc_id for r in pipeline.near_stage(spark, docs(rows), None).collect()}
+    assert kept == set(want.values())
+
+
+def test_near_stage_of_nothing(spark, docs):
+    import corpus_pipeline as pipeline
+
+    assert pipeline.near_stage(spark, docs([]), None).count() == 0
