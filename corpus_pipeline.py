@@ -30,12 +30,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles, that of the
-    smallest doc_id (all its rows, should they repeat the doc_id)."""
+    """One text of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles, that of the
+    smallest doc_id (a null one only where there is no other) and of the smallest text hash, should the doc_id repeat."""
     groups = materialize(near.near_groups(docs), "near-groups")
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    gone = groups.join(least, "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = groups.groupBy("component").agg(F.min(order).alias("least"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    gone = groups.join(least, "component").filter(~kept).select("doc_id", "text_hash").distinct()
+    gone = materialize(gone, "near-gone")
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

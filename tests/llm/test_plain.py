@@ -491,3 +491,14 @@ def test_near_stage_of_nothing(spark, docs):
     import corpus_pipeline as pipeline
 
     assert pipeline.near_stage(spark, docs([]), None).count() == 0
+
+
+def test_near_stage_drops_rows_not_ids(spark, docs):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(28)
+    a, b, c, clean = (sentence(rng, 120) for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, clean), (None, a + " x"), (3, b), (3, b + " y"), (None, c), (None, c + " z")]
+    kept = [(r.doc_id, r.text) for r in pipeline.near_stage(spark, docs(rows), None).collect()]
+    assert (1, a) in kept and (2, clean) in kept and (2, a + " more") not in kept and (None, a + " x") not in kept
+    assert sorted((i is None, i or 0, t.split()[0]) for i, t in kept) == sorted([(False, 1, a.split()[0]), (False, 2, clean.split()[0]), (False, 3, b.split()[0]), (True, 0, c.split()[0])])
