@@ -3,8 +3,9 @@
 Base spans of four kinds are found by their form. They seed the method: the words before a seed induce lexical patterns
 (kind, left words); candidates are identifier-like strings that no base span covers; patterns and instances form a
 graph. Over some rounds a pattern's confidence is the share of its instances' weight that carries its kind, and a
-candidate's belief in a kind is one minus the product of its patterns' doubts. Candidates that patterns of high
-confidence and enough distinct seeds propose, and whose own belief is high, become spans of that kind.
+candidate's belief in a kind is one minus the product of its patterns' doubts. Candidates of high belief are seeds of the
+next round, in which they admit further patterns. Candidates that patterns of high confidence and enough distinct seeds
+propose, and whose own belief is high, become spans of that kind.
 """
 
 from __future__ import annotations
@@ -118,9 +119,6 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     # the graph: how often each instance stands after each pattern; an instance is a string and, if a seed, its kind
     edges = materialize(mentions.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     kinds = F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("of")
-    # patterns without seeds have no confidence in any round
-    seeds = edges.filter("kind is not null").groupBy("pattern", F.col("kind").alias("of")).agg(F.count(F.lit(1)).alias("n_seeds")).filter(F.col("n_seeds") >= min_seeds)
-    proposed = edges.filter("kind is null").join(seeds.select("pattern").distinct(), "pattern", "left_semi").select("value").distinct()
     belief = None
     for _ in range(rounds):
         weighed = edges.select("pattern", "value", "kind", kinds)
@@ -130,10 +128,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             weighed = weighed.join(belief, ["value", "of"], "left").withColumn(
                 "b", F.when(F.col("kind").isNotNull(), (F.col("kind") == F.col("of")).cast("double")).otherwise(F.coalesce("belief", F.lit(0.0)))
             )
-        # distinct instances, not mentions: a passage copied often is one witness
-        patterns = weighed.groupBy("pattern", "of").agg(F.avg("b").alias("confidence")).join(seeds, ["pattern", "of"])
+        # distinct instances, not mentions: a passage copied often is one witness; what is believed is a seed of the next round
+        n_seeds = F.count_distinct(F.when(F.col("b") >= min_confidence, F.col("value")))
+        patterns = weighed.groupBy("pattern", "of").agg(F.avg("b").alias("confidence"), n_seeds.alias("n_seeds")).filter(F.col("n_seeds") >= min_seeds)
         patterns = materialize(patterns, "pii-patterns")
-        doubts = edges.filter("kind is null").select("pattern", "value").join(proposed, "value", "left_semi").join(patterns, "pattern")
+        doubts = edges.filter("kind is null").select("pattern", "value").join(patterns, "pattern")
         belief = doubts.groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("belief"))
         belief = materialize(belief, "pii-belief")
     strong = edges.filter("kind is null").select("pattern", "value").join(patterns.filter(F.col("confidence") >= min_confidence), "pattern").join(

@@ -238,6 +238,17 @@ def test_context_discovers(docs):
     assert got[51].spans == [] and got[52].spans == [] and len(got[3].spans) == 1
 
 
+def test_discovered_instances_are_seeds(docs):
+    rows = [(i, f"note {i} please write to user{i}@mail.example.com soon") for i in range(20)]
+    rows += [(30 + i, f"or else reach me other{i}@mail.example.com then") for i in range(4)]
+    rows += [(50, "and please write to someone(at)mail77 soon"), (51, "or else reach me someone(at)mail77 then"), (52, "or else reach me nobody(at)mail88 then")]
+    got = by_id(pii.pii_spans(docs(rows), min_seeds=5))
+    for i in (50, 51, 52):
+        text = dict(rows)[i]
+        assert [(s.kind, text[s.start : s.end]) for s in got[i].spans] == [("email", text.split()[-2])], i
+    assert got[52].spans and not by_id(pii.pii_spans(docs(rows), rounds=1))[52].spans
+
+
 # --- tokens, codec, packing --------------------------------------------------------------------------
 
 TRICKY = ["", "a  b", "a\n\nb", "  x", "x ", "it's. don't, x", "\tabc", "a \n b", "naïve. Ünï, x", "12. 3, a.b", "a.. b", "<|endoftext|> hi.", "A,\nB.", "x\xa0y. z", "ΣΑΣ. Σ, σ", "a\x1cb. c", "a\x01b", "é́ x", "…, a.,b", "a,. b"]
