@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
-Base spans of four kinds are found by their form. They seed the method: the words before a seed induce lexical patterns
-(kind, left words); candidates are identifier-like strings that no base span covers; patterns and instances form a
+Base spans of four kinds are found by their form. They seed the method: the words beside a seed induce lexical patterns
+(kind, one or two words before or one after); candidates are identifier-like strings that no base span covers; patterns and instances form a
 graph. Over some rounds a pattern's confidence is the share of its instances' weight that carries its kind, and a
 candidate's belief in a kind is one minus the product of its patterns' doubts. Candidates of high belief are seeds of the
 next round, in which they admit further patterns. Candidates that patterns of high confidence and enough distinct seeds
@@ -26,9 +26,19 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A candidate: letters, digits and joining marks with a digit or an at sign inside, of six characters or more.
-_CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9+(][A-Za-z0-9@._%+()-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_%+-])"
-_LEFT_CHARS, _LEFT_WORDS = 48, 2
+# Candidates, none with a cap on its length. Groups of digits with a space or marks between; an address whose marks are in
+# brackets or spelled out, with or without spaces; letters, digits and joining marks with a digit, an at sign or a bracketed
+# mark inside, of six characters or more.
+_DIGIT_GROUPS = r"(?<![A-Za-z0-9@._%+-])[+(]?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![A-Za-z0-9@_%+-])"
+_AT, _DOT = r"(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)"
+_SPELLED = rf"(?<![A-Za-z0-9@._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++(?![A-Za-z0-9@_%+-])"
+_TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9+(][A-Za-z0-9@._%+()-]{4,}+(?<=[A-Za-z0-9.)%+_-])"
+_CANDIDATE = rf"(?i:{_SPELLED})|{_DIGIT_GROUPS}|{_TOKEN}"
+#: Marks that end a candidate are not part of it.
+_TAIL = r"[^A-Za-z0-9]+\z"
+_NEAR_CHARS = 48
+#: Patterns of a mention: one and two words before, the word after, each with its side.
+_SIDES = ("l1", "l2", "r1")
 
 
 def _spans(text: Column, pattern: str, might: Column) -> Column:
@@ -80,11 +90,17 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(named, KINDS))
 
 
-def _pattern(text: Column, start: Column) -> Column:
-    """The last words before a place, lower case, marks kept: the lexical pattern; null where fewer stand there."""
-    before = F.lower(F.substring(text, F.greatest(start - _LEFT_CHARS + 1, F.lit(1)), F.least(start, F.lit(_LEFT_CHARS))))
-    words = F.regexp_extract(before, r"(\S+\s+\S+)\s*\z", 1)
-    return F.when(words != "", F.regexp_replace(words, r"\s+", " "))
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns at a place: the last one and two words before, the first word after, lower case, marks kept,
+    with the side in front; those that aren't there are left out. A word longer than the look is taken as what is seen of it."""
+    before = F.lower(F.substring(text, F.greatest(start - _NEAR_CHARS + 1, F.lit(1)), F.least(start, F.lit(_NEAR_CHARS))))
+    after = F.lower(F.substring(text, end + 1, F.lit(_NEAR_CHARS)))
+    words = (
+        F.regexp_extract(before, r"(\S+)\s*\z", 1),
+        F.regexp_replace(F.regexp_extract(before, r"(\S+\s+\S+)\s*\z", 1), r"\s+", " "),
+        F.regexp_extract(after, r"\A[^\w\s]*\s*(\S*\w)", 1),
+    )
+    return F.filter(F.array(*[F.when(w != "", F.concat(F.lit(f"{k} "), w)) for k, w in zip(_SIDES, words, strict=True)]), lambda p: p.isNotNull())
 
 
 def _shape(value: Column) -> Column:
@@ -101,21 +117,25 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash")]
     texts = docs.select(*key, F.col(id_col).alias("_shown"), text_of(text_col).alias("_text"))
     based = texts.withColumn("_base", base_spans(F.col("_text")))
-    might = F.col("_text").rlike("[0-9@]")
+    might = F.col("_text").rlike(r"(?i)[0-9@]|[\x20(\[{]at[\x20)\]}]")
     apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    def bare(c: Column) -> Column:
+        value = F.regexp_replace(c["value"], _TAIL, "")
+        return F.struct(c["start"].alias("start"), (c["start"] + F.char_length(value)).alias("end"), value.alias("value"))
+
     seen = lambda s, kind: F.struct(
-        kind.cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _pattern(F.col("_text"), s["start"]).alias("pattern")
+        kind.cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _patterns(F.col("_text"), s["start"], s["end"]).alias("patterns")
     )
     looked = based.select(
         "_id",
         "_hash",
         "_shown",
         F.transform("_base", lambda s: seen(s, s["kind"])).alias("_base"),
-        F.transform(F.filter(_spans(F.col("_text"), _CANDIDATE, might), apart), lambda s: seen(s, F.lit(None))).alias("_open"),
+        F.transform(F.filter(F.transform(_spans(F.col("_text"), _CANDIDATE, might), bare), lambda c: (F.char_length(c["value"]) >= 6) & apart(c)), lambda s: seen(s, F.lit(None))).alias("_open"),
     )
     looked = materialize(looked, "pii-spans")
 
-    mentions = looked.select("_id", "_hash", F.explode(F.concat("_base", "_open")).alias("s")).select("_id", "_hash", "s.*").filter("pattern is not null")
+    mentions = looked.select("_id", "_hash", F.explode(F.concat("_base", "_open")).alias("s")).select("_id", "_hash", "s.kind", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
     # the graph: how often each instance stands after each pattern; an instance is a string and, if a seed, its kind
     edges = materialize(mentions.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     kinds = F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("of")
@@ -138,10 +158,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     strong = edges.filter("kind is null").select("pattern", "value").join(patterns.filter(F.col("confidence") >= min_confidence), "pattern").join(
         belief.filter(F.col("belief") >= min_confidence), ["value", "of"]
     )
-    best = strong.groupBy("pattern", "value").agg(F.max_by("of", F.struct("confidence", "of")).alias("found"))
-    added = mentions.filter("kind is null").join(best, ["pattern", "value"]).groupBy("_id", "_hash").agg(
-        F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end")).alias("_added")
-    )
+    best = strong.groupBy("pattern", "value").agg(F.max(F.struct("confidence", "of")).alias("found"))
+    # one kind a span: that of the pattern of the highest confidence
+    spans = mentions.filter("kind is null").join(best, ["pattern", "value"]).groupBy("_id", "_hash", "start", "end").agg(F.max("found").alias("found"))
+    added = spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct(F.col("found.of").alias("kind"), "start", "end")).alias("_added"))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     ordered = lambda spans: F.transform(

@@ -249,6 +249,31 @@ def test_discovered_instances_are_seeds(docs):
     assert got[52].spans and not by_id(pii.pii_spans(docs(rows), rounds=1))[52].spans
 
 
+def test_candidates_of_unseen_forms(docs):
+    long = "user" + "x1" * 40 + "-at-mail"
+    new = {"phone": ["020 7946 0958", "(555) 010 2030"], "card": ["3782 822463 10005"], "email": ["jane(at)example.com", "jane at example dot com", "jane [at] example [dot] com", long]}
+    seeds = {"phone": lambda i: f"+44 20 7946 {1000 + i}", "card": lambda i: "4111 1111 1111 1111" if i == 0 else None, "email": lambda i: f"user{i}@mail.example.com"}
+    cards = [c for c in (f"4{n:015d}" for n in range(400)) if sum(d if k % 2 else (2 * d - 9 * (d > 4)) for k, d in enumerate(map(int, c))) % 10 == 0][:30]
+    seeds["card"] = lambda i: cards[i]
+    rows = [(100 * k + i, f"w{i} {kind}: {seeds[kind](i)} end{i}") for k, kind in enumerate(new) for i in range(30)]
+    rows += [(2000 + i, f"{seeds['email'](50 + i)} wrote{i}") for i in range(3)]
+    want = {}
+    for kind, values in new.items():
+        for v in values:
+            i = 1000 + len(want)
+            want[i] = (kind, v)
+            rows.append((i, f"z{i} {kind}: {v}"))
+    got = by_id(pii.pii_spans(docs(rows)))
+    for i, (kind, v) in want.items():
+        assert [(s.kind, dict(rows)[i][s.start : s.end].strip("()")) for s in got[i].spans] == [(kind, v.strip("()"))], (i, v, got[i].spans)
+
+
+def test_patterns_of_first_words_and_of_the_right(docs):
+    rows = [(i, f"user{i}@mail.example.com subscribed w{i}") for i in range(30)] + [(50, "someone-mail77 subscribed today"), (51, "mail: x"), (52, "someone-mail88 left")]
+    got = by_id(pii.pii_spans(docs(rows)))
+    assert [(s.kind, s.start, s.end) for s in got[50].spans] == [("email", 0, 14)] and not got[51].spans and not got[52].spans
+
+
 # --- tokens, codec, packing --------------------------------------------------------------------------
 
 TRICKY = ["", "a  b", "a\n\nb", "  x", "x ", "it's. don't, x", "\tabc", "a \n b", "naïve. Ünï, x", "12. 3, a.b", "a.. b", "<|endoftext|> hi.", "A,\nB.", "x\xa0y. z", "ΣΑΣ. Σ, σ", "a\x1cb. c", "a\x01b", "é́ x", "…, a.,b", "a,. b"]
