@@ -163,9 +163,14 @@ def contamination(
     )
 
 
-def contaminated_ids(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, text_hash of the documents in which windows of min_items items or more occur."""
-    return contamination(docs, items, id_col, text_col).filter(F.size("items") >= min_items).select(id_col, "text_hash").distinct()
+def contaminated_ids(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS, min_words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, text_hash of the documents that share ``min_words`` consecutive words with an item, or have occurring windows of ``min_items`` items.
+
+    The second part is for items of fewer words than a window: one of these in a text is no evidence. Nulls, repeated
+    rows and empty tables are as in ``contamination``; each id and text comes once.
+    """
+    leaked = F.exists("spans", lambda s: s["end"] - s["start"] >= min_words) | (F.size("items") >= min_items)
+    return contamination(docs, items, id_col, text_col).filter(leaked).select(id_col, "text_hash").distinct()
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

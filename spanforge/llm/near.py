@@ -4,9 +4,11 @@ A text is its set of shingles (all its words, where it has fewer). In one order
 more share one of their first n - ceil(t * n) + 1 shingles each (prefix filtering), whatever the order is. Shingles that
 a sample of the texts repeats stand last in it, which keeps buckets small and changes no result.
 
-Pairs of a bucket are verified on their whole sets. To spare the pairs of large groups, each bucket is first held against
-one of its own members; texts that links connect by then need no pair of their own. What still shares a bucket and is not
-connected is compared pair by pair, nothing is capped.
+Covering locality-sensitive hashing over SimHash fingerprints of the same shingles (``simhash.links``) gives the first
+pairs, prefixes find those beyond its radius. All pairs are verified on their whole sets, after a bound that loses none: each
+set has a map of ``MAP_BITS`` parities, and two maps differ in at most as many bits as the sets differ in members. To spare
+the pairs of large groups, each bucket is first held against one of its own members; texts that links connect by then need no
+pair of their own. What still shares a bucket and is not connected is compared pair by pair, nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_words, materialize, slices, span_hashes, text_of, word_bounds
+from .common import drop_shared, join_words, materialize, release, slices, span_hashes, text_of, word_bounds
 from .graph import components
+from .simhash import RADIUS, links as covering_links, majority_bits
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: About so many texts are looked at for common shingles, and at most so many of those are known. Only time depends on it.
@@ -30,6 +33,8 @@ SAMPLE_DOCS, COMMON = 5_000, 200_000
 STAR_ROUNDS, FEW_PAIRS = 3, 4
 #: Texts that share a bucket are found by a broadcast up to so many.
 BROADCAST_TEXTS = 2_000_000
+#: Bits of the map of a set; more of them spare more comparisons of long sets.
+MAP_BITS = 1024
 
 
 def shingle_sets(texts: list[bytes | None], words: int = SHINGLE_WORDS, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +78,25 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], top["n"].to_numpy(np.int64)[order]
 
 
+def set_maps(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """One row of 64-bit words per set: for each of ``MAP_BITS`` remainders, whether an odd number of members have it."""
+    n = len(begins) - 1
+    at = np.repeat(np.arange(n), np.diff(begins)) * MAP_BITS + (grams % np.uint64(MAP_BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, MAP_BITS), axis=1).view(np.uint64)
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (src, dst), those whose maps allow the similarity: sets that reach it differ in (1 - s) / (1 + s) of their members at most."""
+    one = maps.select(F.col("node").alias("src"), F.col("n").alias("_n"), F.col("map").alias("_a"))
+    two = maps.select(F.col("node").alias("dst"), F.col("n").alias("_m"), F.col("map").alias("_b"))
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    most = (1 - similarity) / (1 + similarity)
+    both = F.col("_n") + F.col("_m")
+    fits = F.least("_n", "_m") >= similarity * F.greatest("_n", "_m") - 1e-9
+    return pairs.join(one, "src").join(two, "dst").filter(fits & (apart <= most * both + 1e-6)).select("src", "dst")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (src, dst), those whose sets reach the similarity."""
     one = sets.select(F.col("node").alias("src"), F.col("grams").alias("_a"))
@@ -81,11 +105,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "src").join(two, "dst").filter(both >= similarity * (F.size("_a") + F.size("_b") - both) - 1e-9).select("src", "dst")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per input row: ``id_col``, text_hash (of the text, a null as empty), component (long).
 
     Texts link at a Jaccard similarity of their sets of ``words``-word shingles of ``similarity`` or more; component names
-    what links connect. Words are compared in lower case (ASCII); texts without words link to each other only. An empty
+    what links connect; ``radius`` (of the first pairs) changes no result. Words are compared in lower case (ASCII); texts without words link to each other only. An empty
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -103,7 +127,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.diff(begins)
             size = np.array([x - ceil(similarity * x - 1e-9) + 1 if x else 0 for x in n.tolist()], np.int64)
             at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[:-1], size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(n.astype(np.int64)), _lists(grams[at], size)], ["text_hash", "node", "n", "keys"])
+            maps = set_maps(grams, begins)
+            prints = majority_bits(grams, n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(nodes), pa.array(n.astype(np.int64)), pa.array(prints.view(np.int64)), _lists(maps.ravel(), np.full(len(n), maps.shape[1])), _lists(grams[at], size)],
+                ["text_hash", "node", "n", "fp", "map", "keys"],
+            )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -111,21 +140,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(grams, np.diff(begins))], ["node", "grams"])
 
     plain = texts.select("text_hash", F.col("text").cast("binary").alias("text"))
-    found = materialize(plain.mapInArrow(prefixes, "text_hash long, node long, n long, keys array<long>"), "near-prefixes")
-    rows = found.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    found = materialize(plain.mapInArrow(prefixes, "text_hash long, node long, n long, fp long, map array<long>, keys array<long>"), "near-prefixes")
+    rows = found.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     buckets = materialize(rows.join(shared, "key"), "near-buckets")
-    meant = materialize(found.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "near-meant")
-    wanted = meant.select("text_hash")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-    sets = materialize(plain.join(wanted, "text_hash", "left_semi").mapInArrow(whole, "node long, grams array<long>").dropDuplicates(["node"]), "near-sets")
-
-    links = labels = None
+    release(spark)
+    # a text of each set; its map for the sets that share a bucket or a fingerprint
+    meant = materialize(found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("map").alias("map")), "near-meant")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_possible(pairs, meant, similarity), "near-pairs")
+        ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+        wanted = materialize(meant.select("node", "text_hash").join(ends, "node", "left_semi").select("text_hash"), "near-wanted")
+        few = wanted.count() <= BROADCAST_TEXTS
+        sets = materialize(plain.join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi").mapInArrow(whole, "node long, grams array<long>").dropDuplicates(["node"]), "near-sets")
+        good = materialize(_verified(pairs, sets, similarity), "near-links")
+        for old in (pairs, wanted, sets):
+            drop_shared(old)
+        release(spark)
+        return good
+
+    # texts of one fingerprint meet its first one, which covering tables hold against others within the radius
+    prints = materialize(meant.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    near_prints = covering_links(prints.select("node", "fp"), radius)
+    alike = meant.select("fp", F.col("node").alias("dst")).join(prints.select("fp", F.col("node").alias("src")), "fp").filter("src <> dst").select("src", "dst")
+    links = checked(near_prints.union(alike).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    labels = materialize(components(links), "near-labels")
+    sized = buckets.join(meant.select("node", "n"), "node")
     for turn in range(STAR_ROUNDS + 1):
-        if labels is None:
-            named = buckets.withColumn("label", F.col("node"))
-        else:
-            named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         seed = F.lit(turn)
         # a centre of each bucket that is not yet connected: another one in each round
         centre = named.groupBy("key").agg(
@@ -141,13 +184,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             other = mine.select("key", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("label").alias("to"))
             mine = mine.join(other, "key").filter("node < dst")
         apart = mine.filter("label <> to").filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
-        pairs = materialize(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct(), "near-pairs")
-        good = _verified(pairs, sets, similarity)
-        links = materialize(good if links is None else links.union(good), "near-links")
+        good = checked(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct())
+        links = links.union(good)
         labels = materialize(components(links), "near-labels")
+        drop_shared(loose)
         if last:
             break
     out = texts.select("id", "text_hash").join(found.select("text_hash", "node").distinct(), "text_hash")
-    if labels is None:
-        return out.select(F.col("id").alias(id_col), "text_hash", F.col("node").alias("component"))
     return out.join(labels, "node", "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("label", "node").alias("component"))

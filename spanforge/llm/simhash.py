@@ -41,14 +41,19 @@ def simhashes(texts: list[bytes | None], words: int = SHINGLE_WORDS, seed: int =
     last = np.minimum(at + words, np.repeat(first + counts, shingles)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, total)
-    ones = np.zeros((len(texts), 64), np.int64)
-    owner = np.repeat(np.arange(len(texts)), shingles)
-    for i in range(0, total, _BLOCK):
+    return majority_bits(hashes, shingles)
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of hashes that stand group by group, the bits set in over half of each group; zero for an empty group."""
+    ones = np.zeros((len(sizes), 64), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for i in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(hashes[i : i + _BLOCK].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
         own = owner[i : i + _BLOCK]
         edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         ones[own[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
-    majority = (2 * ones > shingles[:, None]).astype(np.uint8)
+    majority = (2 * ones > sizes[:, None]).astype(np.uint8)
     return np.packbits(majority, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
@@ -134,7 +139,9 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = 4096) -> D
     found = []
     # a bucket: the masks so far as one mask (its open bits are the ones not yet looked at), and the values there
     rows = prints.select("node", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in every])).alias("mask"))
-    for level in range(1, 8):
+    level = 0
+    while True:  # each level opens bits that the masks before left: distinct fingerprints part in the end
+        level += 1
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         rows = materialize(rows.join(sizes, ["mask", "value"]), "simhash-buckets")
@@ -149,6 +156,8 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = 4096) -> D
         masks = [r.mask & (2**64 - 1) for r in large.select("mask").distinct().collect()]  # at most 15^level
         if not masks:
             break
+        if level > 64:
+            raise RuntimeError(f"a bucket of {bucket_rows} distinct fingerprints can't be split further; give a larger bucket_rows")
         split = {m: [_signed(m | s) for s in covering_masks([b for b in range(64) if not m >> b & 1], radius, level)] for m in masks}
         deeper = spark.createDataFrame([(_signed(m), s) for m, subs in split.items() for s in set(subs)], "mask long, sub long")
         rows = large.join(F.broadcast(deeper), "mask").select("node", "fp", F.col("sub").alias("mask")).distinct()

@@ -172,8 +172,12 @@ def test_longest_repeats(docs):
 # --- contamination -----------------------------------------------------------------------------------
 
 
+def plain_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
 def plain_hits(rows, items):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = plain_words
     out = {}
     for i, t in rows:
         w, hit, found = words(t), set(), set()
@@ -464,7 +468,8 @@ def test_pipeline(spark, folder):
     rows = [(i, " ".join(w.upper() + "!!" for w in sentence(rng, 60).split()) if i % 5 == 0 else good()) for i in range(200)]
     labels = [(i, int(i % 5 != 0), 0) for i in range(0, 200)]
     long = good(400)
-    rows += [(300, rows[1][1]), (301, long), (302, long + " x"), (303, f"{good(30)} {items[0][1]} {items[1][1]}"), (304, f"{good(60)} {items[2][1]}"), (305, None), (306, "")]
+    rows += [(300, rows[1][1]), (301, long), (302, long + " x"), (303, f"{good(30)} {items[0][1]} {items[1][1]}"), (304, f"{good(60)} {items[2][1]}"), (305, None), (306, ""), (307, f"{good(60)} single")]
+    items += [(90, "single")]  # one short item is no evidence
     sf = folder(rows, labels, items)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
@@ -474,11 +479,12 @@ def test_pipeline(spark, folder):
         kept.append({r.doc_id for r in docs.collect()})
     assert not {i for i in kept[0] if i < 200 and i % 5 == 0} and len({i for i in range(200) if i % 5} - kept[0]) <= 2
     assert kept[1] == {max(i for i in kept[0] if (before[i] or "") == (before[k] or "")) for k in kept[0]}
-    prints = {i: plain_fingerprint(before[i]) for i in kept[1]}
-    want = groups_of(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
-    assert kept[2] == set(want.values())
+    sets = {i: plain_shingles(before[i]) for i in kept[1]}
+    assert kept[2] == set(groups_of(sets, lambda a, b: alike(sets[a], sets[b])).values())
     hits = plain_hits([(i, before[i]) for i in kept[2]], items)
-    assert kept[3] == {i for i in kept[2] if len(hits[i][2]) < 2} and 303 not in kept[3]
+    assert all(len(plain_words(t)) >= 8 for _, t in items if t != "single")  # a hit of these is a whole window
+    assert kept[3] == {i for i in kept[2] if not [x for x in hits[i][2] if x != "90"]}
+    assert 303 not in kept[3] and 304 not in kept[3] and 307 in kept[3]
     packed = pipeline.run(spark, sf).toPandas()
     assert set(packed.doc_id) == kept[3]
 
