@@ -43,7 +43,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which windows of fewer than two benchmark items occur."""
+    """Documents that share no eight consecutive words with a benchmark item, and hold at most one item of fewer words."""
     found = materialize(decontaminate.contaminated_ids(docs, table(spark, sf_dir, "benchmark")), "leaks")
     same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["text_hash"])
     return docs.join(found, same, "left_anti")
