@@ -1,103 +1,118 @@
 """A compact file format for token ids: an adaptive context-mixing range coder over independently reset blocks.
 
-Each block of up to ``BLOCK`` ids starts from an empty model, holds its own crc32 and can be read alone. Blocks are coded
-side by side: every step handles one id of each block with array operations, so the loop runs over places in a block,
-not over ids.
+Each block of up to ``BLOCK`` ids starts from an empty model, holds its own crc32 and can be read alone (with the head). Blocks are coded
+side by side, ``LANES`` at a time: every step handles one id of each block with array operations, so the loop runs over
+places in a block, not over ids.
 
 Model of a block, all of it adaptive:
 * order 2: the id last seen after the two ids before; order 1: the id last seen after the id before. Each
   prediction has a confidence (how often it was right in a row), and each confidence an estimate of how often
-  predictions of that confidence hold. The estimates mix the two predictions and the escape into one symbol.
-* order 0: escaped ids are coded by a class of ids and a place in the class; classes by their frequency so far
-  (the table is renewed every ``RENEW`` ids), places evenly.
+  predictions of that confidence hold.
+* order 0: the frequencies of all ids of the block so far, with one for each id of the file's alphabet before its first
+  (the sums are renewed when the block has grown by a part of itself).
+* mixing: each order has a weight, one set of weights for each pair of confidences; a weight moves towards the share that
+  its order had in predicting the id that came. The probability of a predicted id is the weighted sum of the orders'
+  estimates; what is left goes to order 0, from which any id can be coded.
 
 Coder: a 48-bit low and range, written in 16-bit words, carries ripple into what is written.
 
-File: magic, then numbers of documents and blocks, then per document its length, per block its ids, words and crc32
-(of the ids as little-endian unsigned 32-bit integers), then the words of all blocks; all little-endian.
+File: magic, then numbers of documents, of null document ids (these come first), of ids per block and of distinct ids,
+then the part the file is of, its number there, the ids of the part before it and in it; then per document its id and
+length; the distinct ids, ascending (the alphabet: blocks hold places in it); per block its words and crc32 (of the ids as little-endian unsigned 32-bit integers), then the words of all
+blocks, then a crc32 of all that; all little-endian.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 
-MAGIC = b"SFT1"
-BLOCK, RENEW = 1024, 64
-_SLOTS1, _SLOTS2 = 512, 1024
-_CLASSES = 32
+MAGIC = b"SFT2"
+#: Ids of a block, and blocks coded side by side at most; lanes times ids of the alphabet at most.
+BLOCK, LANES, _CELLS = 4096, 1024, 1 << 24
+#: What an id counts in order 0, against one of each id before the first; sums are renewed after so many ids, and a part of those so far.
+_COUNT, _RENEW, _RENEW_PART = 8, 64, 8
+_SLOTS1, _SLOTS2 = 2048, 4096
 _FULL, _LOW32 = 1 << 48, (1 << 32) - 1
-_PROB = 16
-
-
-def id_classes(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first id of each class and the binary logarithm of its size: four classes to an octave, none below a least size
-    that lets ``_CLASSES`` classes hold all ids. Merge-based vocabularies use low ids most."""
-    least = 1
-    while True:
-        starts, bits, at = [], [], 0
-        while at < vocabulary:
-            width = max(least.bit_length() - 1, at.bit_length() - 3)
-            starts.append(at)
-            bits.append(width)
-            at += 1 << width
-        if len(starts) <= _CLASSES:
-            break
-        least *= 2
-    rest = _CLASSES - len(starts)
-    return np.array(starts + [at] * rest, np.int64), np.array(bits + [0] * rest, np.int64)
+_PROB, _ONE = 16, 1 << 16
+#: Order 0's chance of an id that a higher order predicted, as it enters the weights; their pace; every so many ids they move.
+_ANY, _PACE, _WEIGH = 1 / 256, 1 / 16, 4
 
 
 class _Model:
-    """The state of all blocks; encoder and decoder drive it alike. A table slot holds 4 * id + confidence."""
+    """The state of all lanes; encoder and decoder drive it alike. A table slot holds 4 * id + confidence."""
 
-    def __init__(self, lanes: int, vocabulary: int):
+    def __init__(self, table: np.ndarray, alphabet: int):
+        """table: the ids by step and lane, known or, when they are read, about to be."""
+        lanes = table.shape[1]
         lane = np.arange(lanes, dtype=np.int64)
-        self.starts, self.bits = id_classes(vocabulary)
-        self.base1, self.base2, self.base4, self.base32, self.base33 = (lane * n for n in (_SLOTS1, _SLOTS2, 4, _CLASSES, _CLASSES + 1))
-        self.table1, self.table2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
+        self.base1, self.base2, self.base4, self.base16 = (lane * n for n in (_SLOTS1, _SLOTS2, 4, 16))
+        self.table1, self.table2 = np.zeros(lanes * _SLOTS1, np.int64), np.zeros(lanes * _SLOTS2, np.int64)
         self.right1, self.right2 = np.full(lanes * 4, 1 << 12, np.int64), np.full(lanes * 4, 1 << 12, np.int64)
-        self.counts = np.ones((lanes, _CLASSES), np.int64)
+        self.weight1, self.weight2 = np.full(lanes * 16, 0.4), np.full(lanes * 16, 0.4)
+        self.counts = np.ones((lanes, alphabet), np.int32)
+        width = _width(alphabet)
+        self.halves = [width >> i for i in range(1, width.bit_length())]
+        self.base_counts, self.base_sums = lane * alphabet, lane * width
+        self.sums = np.full((lanes, width), np.iinfo(np.int32).max, np.int32)  # beyond the alphabet above every value
+        self.sums[:, 0] = 0
+        self.flat_sums = self.sums.reshape(-1)
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.step = 0
+        self.table, self.counted = table, 0
+        self.step = self.renew_at = 0
 
     def predict(self) -> None:
-        if self.step % RENEW == 0:
-            freq = 1 + self.counts * ((1 << _PROB) - _CLASSES) // self.counts.sum(axis=1, keepdims=True)
-            freq[:, 0] += (1 << _PROB) - freq.sum(axis=1)
-            cum = np.zeros((len(self.base1), _CLASSES + 1), np.int64)
-            np.cumsum(freq, axis=1, out=cum[:, 1:])
-            self.cum = cum.ravel()
+        if self.step == self.renew_at:
+            flat = self.counts.reshape(-1)
+            np.add.at(flat, (self.table[self.counted : self.step] + self.base_counts).reshape(-1), _COUNT)
+            np.cumsum(self.counts, axis=1, out=self.sums[:, 1 : self.counts.shape[1] + 1])
+            self.total, self.counted = self.counts.shape[1] + _COUNT * self.step, self.step
+            self.renew_at += max(_RENEW, self.step // _RENEW_PART)
         near = self.before1 * 40503
-        self.at1 = self.base1 + (near >> 3 & _SLOTS1 - 1)
-        self.at2 = self.base2 + (near + self.before2 * 30011 >> 2 & _SLOTS2 - 1)
+        self.at1 = (near >> 3 & _SLOTS1 - 1) + self.base1
+        self.at2 = (near + self.before2 * 30011 >> 2 & _SLOTS2 - 1) + self.base2
         v1, v2 = self.table1[self.at1], self.table2[self.at2]
         self.p1, self.p2, self.c1, self.c2 = v1 >> 2, v2 >> 2, v1 & 3, v2 & 3
         self.e1, self.e2 = self.base4 + self.c1, self.base4 + self.c2
-        self.g1, self.f2 = self.right1[self.e1], self.right2[self.e2]
-        # what order 2 leaves is shared between order 1 and the escape; none of the three is ever impossible
-        self.f1 = 16 + ((65472 - self.f2) * self.g1 >> _PROB)
-        self.f12 = self.f1 + self.f2
-
-    def class_at(self, value: np.ndarray) -> np.ndarray:
-        """The class whose bounds hold the value, by halving."""
-        found = np.zeros(len(value), np.int64)
-        step = _CLASSES // 2
-        while step:
-            found += step * (value >= self.cum[self.base33 + found + step])
-            step //= 2
-        return found
-
-    def learn(self, ids: np.ndarray, classes: np.ndarray, escaped: np.ndarray) -> None:
+        self.q1, self.q2 = self.right1[self.e1], self.right2[self.e2]
+        self.set = self.base16 + (self.c1 << 2) + self.c2
+        self.w1, self.w2 = self.weight1[self.set], self.weight2[self.set]
+        m1, m2 = (self.w1 * self.q1).astype(np.int64), (self.w2 * self.q2).astype(np.int64)
+        both = m1 * (self.p1 == self.p2)  # where the two orders agree their shares add up
+        self.f1, self.f2 = m1 - both + 16, m2 + both + 16
+        self.f12 = self.f1 + self.f2  # below 65536 by 32: weights are one at most, no estimate exceeds 65472
+
+    def place_of(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Where in the flat sums the id stands whose bounds hold the value, by halving."""
+        at, value = self.base_sums[lane], value.astype(np.int32)
+        for half in self.halves:
+            at += half * (self.flat_sums[at + half] <= value)
+        return at
+
+    def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = self.flat_sums[at].astype(np.int64)
+        return low, self.flat_sums[at + 1] - low
+
+    def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.p1 == ids, self.p2 == ids
-        self.right1[self.e1] = self.g1 + (hit1 * 65440 + 32 - self.g1 >> 4)
-        self.right2[self.e2] = self.f2 + (hit2 * 65440 + 32 - self.f2 >> 4)
+        if self.step % _WEIGH == 0:  # each order's share in what came: its weight times the chance it gave
+            q1, q2 = self.q1 / _ONE, self.q2 / _ONE
+            rest = np.where(hit1 | hit2, _ANY, 1.0)
+            g1 = self.w1 * np.where(hit1, q1, (1 - q1) * rest)
+            g2 = self.w2 * np.where(hit2, q2, (1 - q2) * rest)
+            scale = _PACE / (g1 + g2 + (1 - self.w1 - self.w2) * rest)
+            # shares sum to one at most, floors and all
+            self.weight1[self.set] = self.w1 * (1 - _PACE) + np.maximum(g1 * scale, _PACE / 64) * 0.96
+            self.weight2[self.set] = self.w2 * (1 - _PACE) + np.maximum(g2 * scale, _PACE / 64) * 0.96
+        self.right1[self.e1] = self.q1 + (hit1 * 65440 + 32 - self.q1 >> 4)
+        self.right2[self.e2] = self.q2 + (hit2 * 65440 + 32 - self.q2 >> 4)
         slot = ids << 2
-        self.table1[self.at1] = slot + hit1 * np.minimum(self.c1 + 1, 3)
+        stays = (self.c1 > 0) & ~hit1  # a prediction that held before goes only after misses
+        self.table1[self.at1] = np.where(stays, (self.p1 << 2) + self.c1 - 1, slot + hit1 * np.minimum(self.c1 + 1, 3))
         self.table2[self.at2] = slot + hit2 * np.minimum(self.c2 + 1, 3)
-        self.counts.ravel()[self.base32 + classes] += escaped * 32
         self.before2, self.before1 = self.before1, ids
         self.step += 1
 
@@ -109,11 +124,16 @@ class _Writer:
         self.out = np.zeros(lanes * words, np.uint16)
         self.at = np.arange(lanes) * words
 
-    def narrow(self, cum: np.ndarray, freq: np.ndarray | int, shift: np.ndarray | int) -> None:
-        r = self.range >> shift
+    def narrow(self, cum: np.ndarray, freq: np.ndarray) -> None:
+        r = self.range >> _PROB
         self.low += r * cum
         self.range = r * freq
 
+    def narrow_some(self, lane: np.ndarray, cum: np.ndarray, freq: np.ndarray, total: int) -> None:
+        r = self.range[lane] // total
+        self.low[lane] += r * cum
+        self.range[lane] = r * freq
+
     def flush(self) -> None:
         """Write what is settled, so that ranges are above 32 bits again."""
         over = np.flatnonzero(self.low >= _FULL)
@@ -145,14 +165,22 @@ class _Reader:
         self.value = (self.words[first] << 32) | (self.words[first + 1] << 16) | self.words[first + 2]
         self.range = np.full(len(first), _FULL - 1, np.int64)
 
-    def peek(self, shift: np.ndarray | int) -> np.ndarray:
-        self.r = self.range >> shift
-        return self.value // self.r
+    def peek(self) -> np.ndarray:
+        self.r = self.range >> _PROB
+        return np.minimum(self.value // self.r, _ONE - 1)
 
-    def take(self, cum: np.ndarray, freq: np.ndarray | int) -> None:
+    def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
         self.value -= self.r * cum
         self.range = self.r * freq
 
+    def peek_some(self, lane: np.ndarray, total: int) -> np.ndarray:
+        self.r = self.range[lane] // total
+        return np.minimum(self.value[lane] // self.r, total - 1)
+
+    def take_some(self, lane: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+        self.value[lane] -= self.r * cum
+        self.range[lane] = self.r * freq
+
     def fill(self) -> None:
         while len(small := np.flatnonzero(self.range <= _LOW32)):
             self.value[small] = (self.value[small] << 16) | self.words[np.minimum(self.at[small], len(self.words) - 1)]
@@ -160,103 +188,124 @@ class _Reader:
             self.range[small] <<= 16
 
 
-def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
-    """The words of each block of ``block`` ids; the last is filled up with zeros, which the reader drops."""
-    lanes = -(-len(ids) // block)
-    if not lanes:
-        return []
-    steps = min(block, len(ids))
-    model = _Model(lanes, vocabulary)
-    table = np.zeros(lanes * steps, np.int64)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    used = model.bits[: np.searchsorted(model.starts, vocabulary)]
-    class_of = np.repeat(np.arange(len(used)), 1 << used)
-    coder = _Writer(lanes, 4 * steps + 8)
-    for x in table:
-        model.predict()
-        f1, f2 = model.f1, model.f2
-        is2 = x == model.p2
-        is1 = ~is2 & (x == model.p1)
-        esc = ~(is1 | is2)
-        coder.narrow((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (65536 - model.f12), 16)
-        coder.flush()
-        c = class_of[x]
-        low = model.cum[model.base33 + c]
-        coder.narrow(low * esc, 1 + esc * (model.cum[model.base33 + c + 1] - low - 1), esc * 16)
-        coder.narrow((x - model.starts[c]) * esc, 1, model.bits[c] * esc)
-        coder.flush()
-        model.learn(x, c, esc)
-    return coder.close()
-
-
-def decode_blocks(payloads: list[bytes], n_ids: int, vocabulary: int, block: int = BLOCK) -> np.ndarray:
-    lanes = len(payloads)
-    if not lanes:
-        return np.zeros(0, np.int64)
-    steps = min(block, n_ids)
-    model = _Model(lanes, vocabulary)
-    used = model.bits[: np.searchsorted(model.starts, vocabulary)]
-    class_of = np.repeat(np.arange(len(used)), 1 << used)
-    lengths = np.array([len(p) // 2 for p in payloads])
-    coder = _Reader(np.frombuffer(b"".join(payloads), "<u2"), np.cumsum(lengths) - lengths)
-    table = np.empty((steps, lanes), np.int64)
-    for step in range(steps):
-        model.predict()
-        f1, f2 = model.f1, model.f2
-        v = np.minimum(coder.peek(16), 65535)
-        is2 = v < f2
-        is1 = ~is2 & (v < model.f12)
-        esc = ~(is1 | is2)
-        coder.take((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (65536 - model.f12))
-        coder.fill()
-        c = model.class_at(np.minimum(coder.peek(esc * 16), 65535))
-        low = model.cum[model.base33 + c]
-        coder.take(low * esc, 1 + esc * (model.cum[model.base33 + c + 1] - low - 1))
-        bits = model.bits[c] * esc
-        v = np.minimum(coder.peek(bits), (1 << bits) - 1) * esc
-        coder.take(v, 1)
-        coder.fill()
-        x = is2 * model.p2 + is1 * model.p1 + esc * (model.starts[c] + v)
-        table[step] = x
-        model.learn(x, class_of[x], esc)
-    return table.T.ravel()[:n_ids]
-
-
-_HEAD = struct.Struct("<4sIIIQ")
-
-
-def write_file(documents: list[np.ndarray], vocabulary: int, block: int = BLOCK) -> bytes:
-    """The documents' ids as one file."""
+def _width(alphabet: int) -> int:
+    """The least power of two that holds the sums, one more than the alphabet."""
+    return 1 << max(1, alphabet.bit_length())
+
+
+def _lanes(alphabet: int) -> int:
+    return min(LANES, max(1, _CELLS // _width(alphabet)))
+
+
+def encode_blocks(ids: np.ndarray, alphabet: int, block: int = BLOCK) -> list[bytes]:
+    """The words of each block of ``block`` ids below ``alphabet``; the last is filled up with zeros, which the reader drops."""
+    out = []
+    steps, lanes = min(block, len(ids)), _lanes(alphabet)
+    for a in range(0, len(ids), block * lanes):
+        own = ids[a : a + block * lanes]
+        n = -(-len(own) // steps)
+        table = np.zeros(n * steps, np.int64)
+        table[: len(own)] = own
+        table = np.ascontiguousarray(table.reshape(n, steps).T)
+        model, coder = _Model(table, alphabet), _Writer(n, 3 * steps + 16)
+        for x in table:
+            model.predict()
+            f1, f2 = model.f1, model.f2
+            is2 = x == model.p2
+            is1 = x == model.p1
+            is1 &= ~is2
+            esc = ~(is1 | is2)
+            coder.narrow((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (_ONE - model.f12))
+            some = np.flatnonzero(esc)
+            coder.narrow_some(some, *model.bounds(model.base_sums[some] + x[some]), model.total)
+            coder.flush()
+            model.learn(x)
+        out += coder.close()
+    return out
+
+
+def decode_blocks(payloads: list[bytes], n_ids: int, alphabet: int, block: int = BLOCK) -> np.ndarray:
+    """The ids of blocks that follow each other, the last of which may hold fewer."""
+    out = [np.zeros(0, np.int64)]
+    steps, lanes = min(block, n_ids), _lanes(alphabet) if n_ids else 1
+    for a in range(0, len(payloads), lanes):
+        own = payloads[a : a + lanes]
+        lengths = np.array([len(p) // 2 for p in own])
+        table = np.empty((steps, len(own)), np.int64)
+        model, coder = _Model(table, alphabet), _Reader(np.frombuffer(b"".join(own), "<u2"), np.cumsum(lengths) - lengths)
+        for x in table:
+            model.predict()
+            f1, f2 = model.f1, model.f2
+            v = coder.peek()
+            is2 = v < f2
+            is1 = v < model.f12
+            is1 &= ~is2
+            esc = ~(is1 | is2)
+            coder.take((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (_ONE - model.f12))
+            x[:] = is2 * model.p2 + is1 * model.p1
+            some = np.flatnonzero(esc)
+            at = model.place_of(some, coder.peek_some(some, model.total))
+            x[some] = at - model.base_sums[some]
+            coder.take_some(some, *model.bounds(at))
+            coder.fill()
+            model.learn(x)
+        out.append(table.T.ravel())
+    return np.concatenate(out)[:n_ids]
+
+
+#: magic, documents, null ids, ids per block, distinct ids, part, number in the part, ids of the part before, ids.
+_HEAD = struct.Struct("<4sIIIIIIQQ")
+HEAD_BYTES = _HEAD.size
+
+
+class Head(NamedTuple):
+    documents: int
+    nulls: int
+    block: int
+    alphabet: int
+    part: int
+    seq: int
+    first: int
+    n_ids: int
+
+
+def read_head(data: bytes) -> Head:
+    """What the first ``HEAD_BYTES`` bytes of a file say; ValueError if they are not of this format."""
+    if len(data) < HEAD_BYTES or data[:4] != MAGIC:
+        raise ValueError("not a token file")
+    return Head(*_HEAD.unpack_from(data)[1:])
+
+
+def write_file(doc_ids: list[int | None], documents: list[np.ndarray], block: int = BLOCK, part: int = 0, seq: int = 0, first: int = 0) -> bytes:
+    """The documents' ids as one file; null document ids come first."""
     ids = np.concatenate([np.zeros(0, np.int64), *documents])
-    words = encode_blocks(ids, vocabulary, block)
-    parts = [_HEAD.pack(MAGIC, len(documents), block, vocabulary, len(ids)), np.array([len(d) for d in documents], "<u8").tobytes()]
+    nulls = sum(d is None for d in doc_ids)
+    alphabet, ids_in = np.unique(ids, return_inverse=True)
+    words = encode_blocks(ids_in, len(alphabet), block)
+    parts = [_HEAD.pack(MAGIC, len(documents), nulls, block, len(alphabet), part, seq, first, len(ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(d) for d in documents], "<u8").tobytes(), alphabet.astype("<u4").tobytes()]
     crcs = [zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
     parts += [np.array([len(w) for w in words], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), *words]
     body = b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The length of each document, and all ids; ValueError for a file that is damaged or not of this format."""
-    if len(data) < _HEAD.size + 4 or data[:4] != MAGIC:
-        raise ValueError("not a token file")
-    if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+def read_file(data: bytes) -> tuple[Head, list[int | None], np.ndarray, np.ndarray]:
+    """The head, the id and length of each document, and all token ids; ValueError for a file that is damaged or not of this format."""
+    head = read_head(data)
+    if len(data) < HEAD_BYTES + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("the file is damaged")
-    _, n_docs, block, vocabulary, n_ids = _HEAD.unpack_from(data)
-    at = _HEAD.size
-    lengths = np.frombuffer(data, "<u8", n_docs, at).astype(np.int64)
-    at += 8 * n_docs
-    n_blocks = -(-n_ids // block)
-    sizes = np.frombuffer(data, "<u4", n_blocks, at).tolist()
+    at, n = HEAD_BYTES, head.documents
+    doc_ids = [None] * head.nulls + np.frombuffer(data, "<i8", n, at)[head.nulls :].tolist()
+    lengths = np.frombuffer(data, "<u8", n, at + 8 * n).astype(np.int64)
+    alphabet = np.frombuffer(data, "<u4", head.alphabet, at + 16 * n).astype(np.int64)
+    at += 16 * n + 4 * head.alphabet
+    n_blocks = -(-head.n_ids // head.block)
+    sizes = np.frombuffer(data, "<u4", n_blocks, at)
     crcs = np.frombuffer(data, "<u4", n_blocks, at + 4 * n_blocks)
-    at += 8 * n_blocks
-    payloads = []
-    for n in sizes:
-        payloads.append(data[at : at + n])
-        at += n
-    ids = decode_blocks(payloads, n_ids, vocabulary, block)
+    ends = at + 8 * n_blocks + np.cumsum(sizes, dtype=np.int64)
+    payloads = [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    ids = alphabet[decode_blocks(payloads, head.n_ids, head.alphabet, head.block)]
     for i, crc in enumerate(crcs.tolist()):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids[i * head.block : (i + 1) * head.block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
-    return lengths, ids
+    return head, doc_ids, lengths, ids

@@ -6,8 +6,8 @@ a sample of the texts repeats stand last in it, which keeps buckets small and ch
 
 Covering locality-sensitive hashing over SimHash fingerprints of the same shingles (``simhash.links``) gives the first
 pairs, prefixes find those beyond its radius. All pairs are verified on their whole sets, after a bound that loses none: each
-set has a map of ``MAP_BITS`` parities, and two maps differ in at most as many bits as the sets differ in members. To spare
-the pairs of large groups, each bucket is first held against one of its own members; texts that links connect by then need no
+set has a map of parities, four or more for each member, and two maps of one size differ in at most as many bits as the sets
+differ in members; a map folds to half its size. To spare the pairs of large groups, each bucket is first held against one of its own members; texts that links connect by then need no
 pair of their own. What still shares a bucket and is not connected is compared pair by pair, nothing is capped.
 """
 
@@ -19,7 +19,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_shared, join_words, materialize, release, slices, span_hashes, text_of, word_bounds
@@ -33,8 +33,8 @@ SAMPLE_DOCS, COMMON = 5_000, 200_000
 STAR_ROUNDS, FEW_PAIRS = 3, 4
 #: Texts that share a bucket are found by a broadcast up to so many.
 BROADCAST_TEXTS = 2_000_000
-#: Bits of the map of a set; more of them spare more comparisons of long sets.
-MAP_BITS = 1024
+#: Bits of the map of a set: a power of two, of so many at least and so many for each member.
+MAP_BITS, MAP_SHARE = 1024, 4
 
 
 def shingle_sets(texts: list[bytes | None], words: int = SHINGLE_WORDS, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,23 +78,30 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], top["n"].to_numpy(np.int64)[order]
 
 
-def set_maps(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """One row of 64-bit words per set: for each of ``MAP_BITS`` remainders, whether an odd number of members have it."""
-    n = len(begins) - 1
-    at = np.repeat(np.arange(n), np.diff(begins)) * MAP_BITS + (grams % np.uint64(MAP_BITS)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * MAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, MAP_BITS), axis=1).view(np.uint64)
+def set_maps(grams: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maps of all sets as 64-bit words, one after the other, and the words of each: a bit says whether an odd number of members have its remainder."""
+    n = np.diff(begins)
+    bits = np.maximum(MAP_BITS, 1 << np.ceil(np.log2(np.maximum(n * MAP_SHARE, 1))).astype(np.int64))
+    first = np.cumsum(bits) - bits
+    at = np.repeat(first, n) + (grams & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64), bits // 64
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (src, dst), those whose maps allow the similarity: sets that reach it differ in (1 - s) / (1 + s) of their members at most."""
     one = maps.select(F.col("node").alias("src"), F.col("n").alias("_n"), F.col("map").alias("_a"))
     two = maps.select(F.col("node").alias("dst"), F.col("n").alias("_m"), F.col("map").alias("_b"))
-    apart = F.aggregate(F.zip_with("_a", "_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    xor = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+
+    def folded(own: str, other: str) -> Column:  # sizes of which one is 0.8 of the other or more have maps that are equal or one the double
+        return F.when(F.size(own) > F.size(other), xor(F.slice(own, 1, F.size(other)), F.slice(own, F.size(other) + 1, F.size(other)))).otherwise(F.col(own))
+
+    apart = F.aggregate(F.transform(xor(folded("_a", "_b"), folded("_b", "_a")), lambda w: F.bit_count(w)), F.lit(0), lambda x, y: x + y)
     most = (1 - similarity) / (1 + similarity)
     both = F.col("_n") + F.col("_m")
     fits = F.least("_n", "_m") >= similarity * F.greatest("_n", "_m") - 1e-9
-    return pairs.join(one, "src").join(two, "dst").filter(fits & (apart <= most * both + 1e-6)).select("src", "dst")
+    return pairs.join(one, "src").join(two, "dst").filter(fits).filter(F.when(F.greatest(F.size("_a"), F.size("_b")) <= 2 * F.least(F.size("_a"), F.size("_b")), apart).otherwise(0) <= most * both + 1e-6).select("src", "dst")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -127,10 +134,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.diff(begins)
             size = np.array([x - ceil(similarity * x - 1e-9) + 1 if x else 0 for x in n.tolist()], np.int64)
             at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[:-1], size)
-            maps = set_maps(grams, begins)
+            maps, words_of = set_maps(grams, begins)
             prints = majority_bits(grams, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes), pa.array(n.astype(np.int64)), pa.array(prints.view(np.int64)), _lists(maps.ravel(), np.full(len(n), maps.shape[1])), _lists(grams[at], size)],
+                [batch.column(0), pa.array(nodes), pa.array(n.astype(np.int64)), pa.array(prints.view(np.int64)), _lists(maps, words_of), _lists(grams[at], size)],
                 ["text_hash", "node", "n", "fp", "map", "keys"],
             )
 

@@ -1,7 +1,8 @@
 """Token ids of all documents as files of the codec's format, in ascending order of doc_id, and back.
 
-A file holds a run of documents; files stand in a table of the shared folder (part, seq, payload), which Spark commits and
-retries like any other output. Parts follow the order of doc_id, files that of their part.
+A file holds a run of documents with their ids; files stand in a table of the shared folder (part, seq, payload), which Spark
+commits and retries like any other output. Parts follow the order of doc_id, files that of their part. Everything that is read
+back comes from the files, their heads included.
 """
 
 from __future__ import annotations
@@ -15,22 +16,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import read_file, write_file
+from .codec import HEAD_BYTES, read_file, read_head, write_file
 from .common import materialize, slices, table, text_of
 from .tokens import encoder, public_file
 
-TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50257, 2
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a file, about: as many blocks as are coded side by side.
 FILE_IDS = 1 << 22
 
-FILES = "part int, seq int, first_id long, n_ids long, doc_ids array<long>, payload binary"
 
-
-def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
-    """The files, one row each: part, seq, first_id (ids of the part before it), n_ids, doc_ids, payload.
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """The files, one row each: part, seq, payload.
 
     A null text is empty: its end id alone. Null ids come first; rows that repeat an id come in the order of their
-    texts' hashes. No rows give no files. Other columns are ignored.
+    texts' hashes. No rows give no files. Other columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +38,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int = VOCABULARY,
         seq, before, n, doc_ids, docs = 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            rows = [[part], [seq], [before], [n], [doc_ids], [write_file(docs, vocabulary)]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["part", "seq", "first_id", "n_ids", "doc_ids", "payload"])
+            rows = [[part], [seq], [write_file(doc_ids, docs, part=part, seq=seq, first=before)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "seq", "payload"])
 
         for batch in slices(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -57,11 +55,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int = VOCABULARY,
 
     text = text_of(text_col)
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id", F.xxhash64("text"))
+        docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
+        .repartitionByRange("id", "hash")
+        .sortWithinPartitions("id", "hash")
     )
-    return materialize(ordered.mapInArrow(run, FILES), "token-files")
+    return materialize(ordered.mapInArrow(run, "part int, seq int, payload binary"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -69,26 +67,40 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths, ids = read_file(row["payload"])
+            for payload in batch.column(0):
+                head, doc_ids, lengths, ids = read_file(payload.as_py())
                 raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * len(lengths), pa.int32()), pa.array(row["first_id"] + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(np.full(len(lengths), head.part, np.int32)), pa.array(head.first + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                     ["doc_id", "part", "place", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "first_id", "doc_ids", "payload").mapInArrow(run, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    return files.select("payload").mapInArrow(run, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+
+
+def part_starts(files: DataFrame) -> list[tuple[int, int]]:
+    """(part, ids of all parts before it) from the heads of the files: as many rows as the write had tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [read_head(h) for h in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([h.part for h in heads], pa.int32()), pa.array([h.n_ids for h in heads], pa.int64())], ["part", "n"])
+
+    sizes = files.select(F.substring("payload", 1, HEAD_BYTES)).mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    starts, before = [], 0
+    for part, n in sizes.orderBy("part").collect():
+        starts.append((part, before))
+        before += n
+    return starts
 
 
 def op2_token_output(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
+
+    Rows that repeat an id, null ids and null texts each have their own place; an empty table gives no rows.
+    """
     files = write_tokens(table(spark, sf_dir, "documents"), tokenizer or public_file(TOKENIZER))
-    # ids of all parts before: as many rows as the write had tasks
-    totals = [(r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()]
-    bases, before = [], 0
-    for part, n in totals:
-        bases.append((part, before))
-        before += n
-    base = spark.createDataFrame(bases, "part int, base long")
-    return read_tokens(files).join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    base = F.broadcast(spark.createDataFrame(part_starts(files), "part int, base long"))
+    return read_tokens(files).join(base, "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -292,32 +292,50 @@ def test_encoder_equals_whole(name, spaces):
 
 
 @pytest.mark.parametrize("block", [7, 64, 4096])
-def test_codec_round_trip(block):
+def test_codec_round_trip(block, monkeypatch):
     rng = np.random.default_rng(8)
+    monkeypatch.setattr(codec, "LANES", 5)  # more blocks than stand side by side
     for ids in ([], [5], [0] * 300, rng.integers(0, 50257, 500), np.repeat(rng.integers(0, 9, 90), 7), [50256] * 65):
         docs = np.array_split(np.array(ids, np.int64), 3)
-        lengths, back = codec.read_file(codec.write_file(docs, 50257, block))
+        head, doc_ids, lengths, back = codec.read_file(codec.write_file([None, -5, 2**40], docs, block, part=3, seq=2, first=11))
         assert lengths.tolist() == [len(d) for d in docs] and back.tolist() == [int(x) for x in ids]
+        assert doc_ids == [None, -5, 2**40] and (head.part, head.seq, head.first, head.n_ids) == (3, 2, 11, len(ids))
 
 
 def test_codec_adapts_and_checks():
     ids = np.tile(np.arange(40) * 1000, 200)
-    data = codec.write_file([ids], 50257)
+    data = codec.write_file([1], [ids])
     assert len(data) < len(ids) * 2 / 8
     for at in (3, 40, len(data) // 2, len(data) - 1):
         with pytest.raises(ValueError):
             codec.read_file(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
+def test_codec_beats_the_entropy_of_single_ids():
+    rng = random.Random(18)
+    vocab = [rng.randrange(50000) for _ in range(400)]
+    after = {v: rng.choice(vocab) for v in vocab}
+    ids, x = [], vocab[0]
+    for _ in range(60_000):
+        x = after[x] if rng.random() < 0.6 else rng.choice(vocab)
+        ids.append(x)
+    counts = np.array(list(Counter(ids).values())) / len(ids)
+    single = -(counts * np.log2(counts)).sum()
+    bits = 8 * len(codec.write_file([1], [np.array(ids)])) / len(ids)
+    assert bits < 0.85 * single and bits < 8 * len(zlib.compress(np.array(ids, "<u2").tobytes(), 9)) / len(ids)
+
+
 def test_token_output(spark, folder):
-    rows = [r for r in dict(awkward()).items()]
-    got = by_id(token_output.op2_token_output(spark, folder(rows)))
+    rows = [*awkward(), (None, "no id"), (None, None)]  # ids that repeat, a very long text
+    sf = folder(rows)
+    spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("x") for c in ("part", "seq", "payload", "hash", "id")}).write.parquet(f"{sf}/clash/documents.parquet")
+    got = sorted(token_output.op2_token_output(spark, f"{sf}/clash").collect(), key=lambda r: r.start)
     tok = Encoder(public_file("byte_bpe_50k.json"), True).tokenizer
-    at = 0
-    for i, t in sorted(rows):
-        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        assert tuple(got[i]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    encoded = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in encoded)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
 
 
 def test_token_output_of_nothing(spark, folder):
