@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 A word that was seen in learning is scored by its log frequency in each language. An unseen word falls back to its
-character n-grams: the longest length of which any n-gram was seen is used, down to single characters.
+character n-grams: the longest length of which any n-gram was seen is used, down to single characters. All words and
+n-grams of the learning sample are kept.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, materialize, slices, table, text_of
+from .common import fold, fresh, slices, table, text_of
 
-#: Bounds of the fit: documents to learn from, words and n-grams (of each length) kept, per language.
-LANG_DOCS, LANG_WORDS, LANG_GRAMS, MAX_GRAM = 3000, 40_000, 10_000, 4
+#: The bound of the fit, documents to learn from per language; and the longest n-grams.
+LANG_DOCS, MAX_GRAM = 3000, 4
 MEMO_ENTRIES = 400_000
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789«»„“”‘’¿¡…–—"
@@ -33,16 +34,41 @@ def words_of(text: str) -> list[str]:
     return [w for w in (t.strip(_EDGES) for t in text.lower().split()) if w]
 
 
-def train(docs: DataFrame, lang_docs: int = LANG_DOCS, lang_words: int = LANG_WORDS, lang_grams: int = LANG_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Per-language counts of words and n-grams, from about lang_docs documents a language (those of least hash).
+class Model:
+    """Log probabilities of words (place 0) and n-grams of each length: what unseen ones have, and for those seen how much more in which languages."""
 
-    Rows with a null text or language are not learned from.
+    def __init__(self, langs: list[str]):
+        self.langs = langs
+        self.unseen = np.zeros((MAX_GRAM + 1, len(langs)))
+        self.places: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+        self.first = [np.zeros(1, np.int64)] * (MAX_GRAM + 1)
+        self.lang = [np.zeros(0, np.int16)] * (MAX_GRAM + 1)
+        self.more = [np.zeros(0)] * (MAX_GRAM + 1)
+
+    def log_p(self, n: int, gram: str) -> np.ndarray | None:
+        """In each language; None for what no language has."""
+        at = self.places[n].get(gram)
+        if at is None:
+            return None
+        out = self.unseen[n].copy()
+        a, b = self.first[n][at], self.first[n][at + 1]
+        out[self.lang[n][a:b]] += self.more[n][a:b]
+        return out
+
+
+def train(docs: DataFrame, lang_docs: int = LANG_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of about lang_docs documents a language (those of least hash of their id).
+
+    Rows with a null text or language are not learned from, null ids are an id like any other, rows that repeat count
+    each. Without rows there are no languages. Other columns are ignored.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(id_col), F.lit("train")).alias("h")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(id_col), F.lit("train")).alias("h")
     )
-    share = labelled.groupBy("lang").agg((F.lit(float(lang_docs)) / F.count(F.lit(1))).alias("share"))
-    chosen = labelled.join(share, "lang").filter(F.col("share") * 2.0**63 >= F.abs(F.col("h").cast("double"))).select("text", "lang")
+    # one row a language: the sample is chosen where the texts are, nothing else moves
+    shares = [(r["lang"], lang_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    chosen = labelled.join(F.broadcast(share), "lang").filter(F.col("share") * 2.0**63 >= F.abs(F.col("h").cast("double"))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, 1 << 23):
@@ -63,51 +89,48 @@ def train(docs: DataFrame, lang_docs: int = LANG_DOCS, lang_words: int = LANG_WO
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "n", "gram", "c"])
 
     counts = chosen.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    counts = materialize(counts, "lang-counts")
-    totals = {(r["lang"], r["n"]): (r["c"], r["v"]) for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
-    langs = sorted({lang for lang, _ in totals})
-    model: dict = {"langs": langs, "seen": [{} for _ in range(MAX_GRAM + 1)], "unseen": [np.zeros(len(langs)) for _ in range(MAX_GRAM + 1)]}
+    found = counts.toArrow()  # bounded by the sample
+    langs = sorted(found.column("lang").unique().to_pylist())
+    model = Model(langs)
+    lang_at = {lang: i for i, lang in enumerate(langs)}
+    lang = np.array([lang_at[x] for x in found.column("lang").to_pylist()], np.int16)
+    n_of, c_of, gram_of = found.column("n").to_numpy(), found.column("c").to_numpy(), np.array(found.column("gram").to_pylist(), object)
     for n in range(MAX_GRAM + 1):
-        for i, lang in enumerate(langs):
-            c, v = totals.get((lang, n), (0, 0))
-            model["unseen"][n][i] = np.log(0.5 / (c + 0.5 * (v + 1)))
-    for lang in langs:
-        for n in range(MAX_GRAM + 1):  # bounded: the kept words or n-grams of one language
-            c, v = totals.get((lang, n), (0, 0))
-            top = counts.filter((F.col("lang") == lang) & (F.col("n") == n)).orderBy(F.desc("c"), "gram").limit(lang_words if n == 0 else lang_grams)
-            i = langs.index(lang)
-            for r in top.collect():
-                at = model["seen"][n].get(r["gram"])
-                if at is None:
-                    at = model["seen"][n][r["gram"]] = model["unseen"][n].copy()
-                at[i] = np.log((r["c"] + 0.5) / (c + 0.5 * (v + 1)))
+        own = np.flatnonzero(n_of == n)
+        own = own[np.argsort(gram_of[own], kind="stable")]
+        gram, c, li = gram_of[own], c_of[own], lang[own]
+        new = np.r_[np.ones(min(len(own), 1), bool), gram[1:] != gram[:-1]]
+        total = np.bincount(li, c, len(langs)) + 0.5 * (np.bincount(li, minlength=len(langs)) + 1)
+        model.unseen[n] = np.log(0.5 / total)
+        model.places[n] = {g: i for i, g in enumerate(gram[new].tolist())}
+        model.first[n] = np.r_[np.flatnonzero(new), len(own)]
+        model.lang[n] = li
+        model.more[n] = np.log((c + 0.5) / total[li]) - model.unseen[n][li]
     return model
 
 
-def evidence(model: dict, token: str) -> np.ndarray:
+def evidence(model: Model, token: str) -> np.ndarray:
     """Log probability of a token's word in each language; zero for a token without letters."""
     word = token.strip(_EDGES)
-    none = np.zeros(len(model["langs"]))
-    if not word:
-        return none
-    known = model["seen"][0].get(word)
-    if known is not None:
-        return known
-    for n in range(MAX_GRAM, 0, -1):
-        table_n = model["seen"][n]
-        found = [table_n[g] for g in grams(word, n) if g in table_n]
-        if found:
-            return np.sum(found, axis=0) / n
-    return none
-
-
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    if word:
+        known = model.log_p(0, word)
+        if known is not None:
+            return known
+        for n in range(MAX_GRAM, 0, -1):
+            found = [p for p in (model.log_p(n, g) for g in grams(word, n)) if p is not None]
+            if found:
+                return np.sum(found, axis=0) / n
+    return np.zeros(len(model.langs))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred and score: ``und`` and 0 for a null text, a text without letters, or without any language learned.
 
-    They take the place of columns of those names.
+    They take the place of columns of those names. Of languages of equal score the first by name is taken. Rows that
+    repeat each get a row, an empty table gives none.
     """
     docs = docs.drop("lang_pred", "score")
-    langs = model["langs"]
+    langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +173,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document, nulls and repeats as in ``train`` and ``predict``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 3) == 1
     model = train(docs.filter(~held_out))

@@ -436,6 +436,57 @@ def test_language(spark, folder):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[5].held_out == (fold(5, 3) == 1)
 
 
+def plain_language(rows):
+    """rows: id, text, lang of all documents; (lang, score) of each."""
+    tokens = lambda t: [w for w in (x.strip(language._EDGES) for x in t.lower().split()) if w]
+    parts = lambda w, n: [w] if n == 0 else [m[i : i + n] for m in [f"\x02{w}\x03" if n > 1 else w] for i in range(len(m) - n + 1)]
+    learn = [(t, k) for i, t, k in rows if fold(i if i is not None else "", 3) != 1 and t is not None and k is not None]
+    langs = sorted({k for _, k in learn})
+    counts = {(k, n): Counter(g for t, l in learn if l == k for w in tokens(t) for g in parts(w, n)) for k in langs for n in range(5)}
+    log_p = lambda k, n, g: math.log((counts[k, n][g] + 0.5) / (sum(counts[k, n].values()) + 0.5 * (len(counts[k, n]) + 1)))
+    known = {n: set().union(*(counts[k, n] for k in langs)) for n in range(5)} if langs else {}
+    out = []
+    for _, t, _ in rows:
+        if not langs or not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        total = dict.fromkeys(langs, 0.0)
+        for w in tokens(t):
+            for n in (0, 4, 3, 2, 1):
+                found = [g for g in parts(w, n) if g in known[n]]
+                if found:
+                    for k in langs:
+                        total[k] += sum(log_p(k, n, g) for g in found) / max(n, 1)
+                    break
+        best = max(langs, key=lambda k: total[k])  # the first of equals
+        out.append((best, 1 / sum(math.exp(total[k] - total[best]) for k in langs)))
+    return out
+
+
+def test_language_equals_the_plain_form(spark, folder):
+    rng = random.Random(19)
+    words = {k: ["".join(rng.choice(c) for _ in range(rng.randint(1, 7))) for _ in range(25)] for k, c in {"aa": "abcdé", "bb": "cdefß", "cc": "efgh'"}.items()}
+    rows = [(i, " ".join(rng.choice(words[k]) + rng.choice(["", ",", "!"]) for _ in range(rng.randint(1, 12))), k) for i, k in ((i, rng.choice(list(words))) for i in range(150))]
+    rows += [(200 + i, " ".join(rng.choice(words["aa"])[::-1] + rng.choice("xyz") for _ in range(4)), None) for i in range(30)]
+    rows += [(300, None, "aa"), (301, "", "bb"), (302, "12 ?!", "cc"), (303, "zzzz", None), (None, "abc def", "aa"), (None, None, None), (5, rows[5][1], "bb"), (5, rows[5][1], "bb"), (304, " ".join(words["cc"]) * 3000, None)]
+    sf = folder(rows)
+    spark.read.parquet(f"{sf}/documents.parquet").withColumns({"lang_pred": F.lit("zz"), "score": F.lit(7), "__text": F.lit(1), "share": F.lit(1), "h": F.lit(1)}).write.parquet(f"{sf}/clash/documents.parquet")
+    got = language.op7_language(spark, f"{sf}/clash").collect()
+    want = plain_language(rows)
+    assert len(got) == len(rows)
+    key = lambda i, lang, score: (i is None, i or 0, lang, round(score, 9))
+    assert sorted(key(r.doc_id, r.lang_pred, r.score) for r in got) == sorted(key(i, *w) for (i, _, _), w in zip(rows, want, strict=True))
+
+
+def test_language_ties_and_nothing_at_all(spark, folder):
+    rows = [(i, "same words here", k) for i in range(12) for k in ("xx", "yy")]
+    assert {(r.lang_pred, round(r.score, 9)) for r in language.op7_language(spark, folder(rows)).collect()} == {("xx", 0.5)}
+
+
+def test_language_of_an_empty_table(spark, folder):
+    assert language.op7_language(spark, folder([])).count() == 0
+
+
 def test_language_of_nothing(spark, folder):
     assert [r.lang_pred for r in language.op7_language(spark, folder([(1, "abc", None)])).collect()] == ["und"]
 
