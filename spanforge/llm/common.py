@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; set here only where the session names none."""
+    """The folder that the cluster shares; set here only where the session names none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{LOCAL_SHARED}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -64,6 +66,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of one key above which a join spreads it, over so many salts; hot keys are told by a broadcast up to so many.
+HOT_ROWS, HOT_SALTS, BROADCAST_HOT = 10_000, 64, 500_000
+
+
+def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], count_col: str, spread: list[str], hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+    """``rows`` joined to ``keys`` on ``on``, the rows of hot keys dealt over salts by the columns ``spread``.
+
+    keys: one row per key, with count_col, how many rows have it. A hot key is repeated once for each salt; all others
+    keep their one row. It is read more than once: give a table.
+    """
+    hot = keys.filter(F.col(count_col) > hot_rows).select(*on)
+    n_hot = hot.limit(BROADCAST_HOT + 1).count()
+    if not n_hot:
+        return rows.join(keys, on)
+    salt, is_hot = fresh(rows, fresh(keys, "__salt")), fresh(rows, "__hot")
+    dealt = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    if n_hot <= BROADCAST_HOT:
+        rows = rows.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), on, "left").withColumn(salt, F.when(F.col(is_hot), dealt).otherwise(0)).drop(is_hot)
+        copies = F.when(F.col(count_col) > hot_rows, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    else:  # too many to tell: every key is spread
+        rows = rows.withColumn(salt, dealt)
+        copies = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    return rows.join(keys.withColumn(salt, F.explode(copies)), [*on, salt]).drop(salt)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, a null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -167,6 +194,17 @@ class SharedArrays:
 
     def __init__(self, uri: str):
         self.uri = uri
+        self._maps: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"uri": self.uri, "_maps": {}}
+
+    def mapped(self, name: str, dtype) -> np.ndarray:
+        """The map of a file that doesn't change any more, opened once by a worker."""
+        key = (name, np.dtype(dtype).str)
+        if key not in self._maps:
+            self._maps[key] = self.map(name, dtype)
+        return self._maps[key]
 
     def _local(self, name: str) -> str | None:
         path = self.uri.removeprefix("file://")

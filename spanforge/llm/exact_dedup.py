@@ -3,6 +3,7 @@
 1. Locally: each task reduces its rows to one winner per text (the map side of the first aggregation).
 2. Salted: winners meet by (digest, salt, text), so a text that holds a third of all rows is spread over the salts.
 3. Globally: at most one winner per salt is left of each text; these meet by digest.
+4. Back: rows meet the winner of their text, those of a hot text dealt over salts once more.
 Every grouping key holds the full text, so a digest that two texts share never merges them.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table, text_of
+from .common import fresh, join_spread, materialize, table, text_of
 
 SALTS = 64
 
@@ -42,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = rows.select("_id", "_digest", *check).groupBy("_id", *key).agg(F.count(F.lit(1)).alias("_rows"))
     shared = winners.groupBy(*key).agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select(*key)
     if shared.isEmpty():
-        classed = slim.join(winners, key)
+        classed = join_spread(slim, winners, key, "_n", ["_id"])
     else:
         few = rows.select("*", *check).join(shared, key, "left_semi")
         by_text = few.groupBy(*key, "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
@@ -71,6 +72,7 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document; nulls, ties and repeats as in ``exact_dedup``."""
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SharedArrays, fold, fresh, join_words, materialize, release, shared_path, slices, span_hashes, table, word_bounds
 
-BATCH_BYTES = 1 << 22
+BATCH_BYTES, BUCKET_BYTES = 1 << 22, 1 << 26
 END = np.uint64(0x0123456789ABCDEF)
 #: Word ids are below this; it stands for the begin of a text as a context.
 BEGIN = np.uint64((1 << 32) - 1)
@@ -80,7 +80,7 @@ class HashArrays:
 
     def __init__(self, store: SharedArrays, name: str, bits: int):
         self.store, self.name, self.bits = store, name, bits
-        self.keys = [store.map(f"{name}-{b:06d}.keys", np.uint64) for b in range(1 << bits)]
+        self.keys = [store.mapped(f"{name}-{b:06d}.keys", np.uint64) for b in range(1 << bits)]
         self.first = np.r_[0, np.cumsum([len(k) for k in self.keys])]
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ class HashArrays:
         for b in range(1 << self.bits):
             i, j = edge[b], edge[b + 1]
             if i < j:
-                out[i:j] = self.store.map(f"{self.name}-{b:06d}.{what}", dtype)[ranks[i:j] - self.first[b]]
+                out[i:j] = self.store.mapped(f"{self.name}-{b:06d}.{what}", dtype)[ranks[i:j] - self.first[b]]
         return out
 
 
@@ -232,9 +232,12 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -> Model:
-    """The model of all texts of ``docs``; a null text is empty. Without texts every token has the same probability."""
+    """The model of all texts of ``docs``; a null text is empty, texts that repeat count each. Without texts every token has
+    the same probability. More than 2^32 - 2 distinct words are a ValueError. ``buckets``: files of each kind, by default as
+    many as keep the pairs of one within ``BUCKET_BYTES`` of text, the session's shuffle partitions at least."""
     spark = docs.sparkSession
-    n_parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    n_parts = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     bits = max(0, (n_parts - 1).bit_length())
     uri = shared_path(spark, "lm")
     store, model = SharedArrays(uri), Model(uri, bits)
@@ -247,7 +250,8 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -
     _fill(store, found, "words", bits)
     row = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()
     model.n_words, model.n_tokens = row["n"], row["t"]
-    assert model.n_words < int(BEGIN), "more distinct words than word ids"
+    if model.n_words >= int(BEGIN):
+        raise ValueError(f"{model.n_words} distinct words; word ids have 32 bits")
     release(spark)
 
     def pair_keys(batch: list) -> tuple[np.ndarray, np.ndarray]:
@@ -348,6 +352,7 @@ def _word_arrays(spark: SparkSession, store: SharedArrays, model: Model, span: i
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; nulls and repeats as in ``train`` and ``score``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 1
     return score(docs.withColumn("held_out", held_out), train(docs.filter(~held_out)))
@@ -356,7 +361,7 @@ def op3_lm_score(spark, sf_dir: str) -> DataFrame:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score (in place of columns of those names).
 
-    A null text is empty: its end alone is scored.
+    A null text is empty: its end alone is scored. Rows that repeat each get a row, an empty table gives none.
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rows = docs.withColumn(fresh(docs, "__text"), F.col(text_col).cast("binary")).drop(text_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_words, materialize, slices, table, word_bounds
+from .common import join_spread, join_words, materialize, slices, table, word_bounds
 from .graph import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -175,16 +175,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component has no other. Rows that repeat an id each get a row. An empty table gives no rows. Other columns are ignored.
     """
     prints = materialize(fingerprints(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fp")), "simhash")
-    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")), "simhash-nodes")
     # the fingerprint itself names the node; labels are found on it and then carried to the smallest id
     edges = links(nodes.select(F.col("_fp").alias("node"), F.col("_fp").alias("fp")), radius, bucket_rows)
     labels = components(edges)
-    labelled = nodes.join(labels, nodes["_fp"] == labels["node"], "left").select("_fp", "_least", F.coalesce("label", "_fp").alias("_label"))
+    labelled = nodes.join(labels, nodes["_fp"] == labels["node"], "left").select("_fp", "_least", "_rows", F.coalesce("label", "_fp").alias("_label"))
     least = labelled.groupBy("_label").agg(F.min("_least").alias("_component"))
-    classes = labelled.join(least, "_label").select("_fp", "_component")
-    return prints.join(classes, "_fp").select(F.col("_id").alias(id_col), F.col("_fp").alias("fingerprint"), F.col("_component").alias("component_id"))
+    classes = materialize(labelled.join(least, "_label").select("_fp", "_component", "_rows"), "simhash-classes")
+    return join_spread(prints, classes, ["_fp"], "_rows", ["_id"]).select(F.col("_id").alias(id_col), F.col("_fp").alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document; nulls, ties and repeats as in ``simhash_groups``."""
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

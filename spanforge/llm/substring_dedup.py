@@ -19,7 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, join_words, materialize, mix, release, slices, span_hashes, table, text_of, word_bounds
+from .common import gram_hashes, join_spread, join_words, materialize, mix, release, slices, span_hashes, table, text_of, word_bounds
 
 WINDOW = 20
 #: Keys of whole copies up to this number are broadcast, after a count: 16 bytes each.
@@ -59,17 +59,20 @@ def _kept(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarra
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each kept half-window of a text once, with its places."""
     for batch in slices(batches, 2):
         words, counts = _hashes(batch.column(2).to_pylist())
         halves, _, kept = _kept(words, counts, window)
         kept = np.unique(kept)
         first = np.cumsum(counts) - counts
         doc = np.searchsorted(np.cumsum(counts), kept, side="right")
-        at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(halves[kept].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array((kept - first[doc]).astype(np.int32))],
-            ["half", "id", "hash", "pos"],
-        )
+        half, pos = halves[kept], (kept - first[doc]).astype(np.int32)
+        order = np.lexsort((pos, half, doc))
+        half, doc, pos = half[order], doc[order], pos[order]
+        new = np.flatnonzero(np.r_[len(half) > 0, (half[1:] != half[:-1]) | (doc[1:] != doc[:-1])]) if len(half) else np.zeros(0, np.int64)
+        at = pa.array(doc[new])
+        places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(half)].astype(np.int32)), pa.array(pos))
+        yield pa.RecordBatch.from_arrays([pa.array(half[new].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), places], ["half", "id", "hash", "pos"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -158,8 +161,9 @@ def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def whole_copies(keyed: DataFrame) -> DataFrame:
     """id, hash of the texts all of whose words are, in order, those of a text of smaller id: every window of theirs repeats."""
     wholes = keyed.mapInArrow(_wholes, "id long, hash long, a long, b long")
-    first = wholes.groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "least")
-    return materialize(wholes.join(first, ["a", "b"]).filter("id > least").select("id", "hash").distinct(), "copies")
+    wholes = materialize(wholes, "wholes")
+    first = materialize(wholes.groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first-wholes")
+    return materialize(join_spread(wholes, first, ["a", "b"], "n", ["id"]).filter("id > least").select("id", "hash").distinct(), "copies")
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,14 +176,14 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     copies = whole_copies(keyed)
     few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     keyed = keyed.join(F.broadcast(copies) if few else copies, ["id", "hash"], "left_anti")
-    anchors = keyed.mapInArrow(lambda it: _anchors(it, window), "half long, id long, hash long, pos int")
-    again = anchors.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    places = anchors.join(again, "half").groupBy("id", "hash").agg(F.collect_list("pos").alias("places"))
+    anchors = keyed.mapInArrow(lambda it: _anchors(it, window), "half long, id long, hash long, pos array<int>")
+    again = materialize(anchors.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "halves")
+    places = join_spread(anchors, again, ["half"], "n", ["id", "hash"]).groupBy("id", "hash").agg(F.flatten(F.collect_list("pos")).alias("places"))
     places = materialize(places, "anchors")
     release(docs.sparkSession)
     windows = keyed.join(places, ["id", "hash"]).mapInArrow(lambda it: _windows(it, window), "w long, check int, id long, hash long, start int")
-    first = windows.groupBy("w", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "check", "least")
-    later = windows.join(first, ["w", "check"]).filter("id > least")
+    first = materialize(windows.groupBy("w", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first-windows")
+    later = join_spread(windows, first, ["w", "check"], "n", ["id", "hash"]).filter("id > least")
     starts = later.groupBy("id", "hash").agg(F.collect_list("start").alias("starts"))
     starts = materialize(starts.unionByName(copies.withColumn("starts", F.array(F.lit(-1)))), "repeats")
     release(docs.sparkSession)
@@ -235,6 +239,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; nulls, ties and repeats as in ``substring_dedup``."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
