@@ -62,7 +62,7 @@ def passages(texts: list[bytes | None], size: int = PASSAGE_WORDS) -> tuple[np.n
             np.minimum(mean, 40) / 10,
             np.sqrt(np.minimum(np.bincount(of_word, lengths.astype(float) ** 2, n) / some - mean**2, 400).clip(0)) / 10,
             np.bincount(of_word, lengths <= 3, n) / some,
-            1 - distinct / some,
+            (words - distinct) / some,
             np.bincount(of_word, marked, n) / some,
             np.minimum(words, size) / size,
         ],
@@ -149,7 +149,8 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = EPOC
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> BagModel:
     """docs, labels: those to learn from. At most max_docs labelled ids are taken, those of least hash.
 
-    Null labels and null ids are not learned from; an id with several labels counts by their majority.
+    Null labels and null ids are not learned from; an id with several labels counts by their majority, 1 where they are
+    even. Rows that repeat a labelled id count each. Without labels every score is a half.
     """
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_do
 def score(docs: DataFrame, model: BagModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """The rows of ``docs`` with the score of each whole text (0 to 1) as ``out_col``, in place of a column of that name.
 
-    A null or empty text is one blank passage.
+    A null or empty text is one blank passage. Rows that repeat each get a row, an empty table gives none.
     """
     docs = docs.drop(out_col)
     own = fresh(docs, "__text")
@@ -199,6 +200,7 @@ def score(docs: DataFrame, model: BagModel, text_col: str = "text", out_col: str
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from a score of 0.5 on) of every document; nulls and repeats as in ``train`` and ``score``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))

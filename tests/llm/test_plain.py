@@ -278,6 +278,94 @@ def test_patterns_of_first_words_and_of_the_right(docs):
     assert [(s.kind, s.start, s.end) for s in got[50].spans] == [("email", 0, 14)] and not got[51].spans and not got[52].spans
 
 
+def plain_pii(rows, rounds=3, min_seeds=5, min_confidence=0.8):
+    """The spans that the method adds, by loops over all mentions: {row number: [(kind, start, end)]}."""
+    find = re.compile(pii._CANDIDATE.replace(r"\z", r"\Z"), re.ASCII)
+    edges, mentions = set(), []
+    for at, (_, text) in enumerate(rows):
+        text = text or ""
+        base = plain_spans(text)
+        found = [(k, s, e) for k, s, e in base]
+        for m in find.finditer(text):
+            value = re.sub("[^A-Za-z0-9]+\\Z", "", m[0])
+            s, e = m.start(), m.start() + len(value)
+            if len(value) >= 6 and not any(a < e and b > s for _, a, b in base):
+                found.append((None, s, e))
+        for kind, s, e in found:
+            before, after = text[max(0, s - 48) : s].lower(), text[e : e + 48].lower()
+            one, two = re.search(r"(\S+)\s*\Z", before, re.ASCII), re.search(r"(\S+\s+\S+)\s*\Z", before, re.ASCII)
+            right = re.search(r"\A[^\w\s]*\s*(\S*\w)", after, re.ASCII)
+            words = [("l1", one and one[1]), ("l2", two and re.sub(r"\s+", " ", two[1], flags=re.ASCII)), ("r1", right and right[1])]
+            for p in [(side, w) for side, w in words if w]:
+                edges.add((p, text[s:e].lower(), kind))
+                mentions.append((at, s, e, p, text[s:e].lower(), kind))
+    belief = defaultdict(float)
+    for _ in range(rounds):
+        weighed = defaultdict(list)
+        for p, value, kind in edges:
+            for of in BASE:
+                weighed[p, of].append((value, float(kind == of) if kind else belief[value, of]))
+        patterns = {k: sum(b for _, b in v) / len(v) for k, v in weighed.items() if len({x for x, b in v if b >= min_confidence}) >= min_seeds}
+        doubt = defaultdict(lambda: 1.0)
+        for p, value, kind in edges:
+            if kind is None:
+                for of in BASE:
+                    if (p, of) in patterns:
+                        doubt[value, of] *= max(1 - patterns[p, of], 1e-6)
+        belief = defaultdict(float, {k: 1 - d for k, d in doubt.items()})
+    best = {}
+    for at, s, e, p, value, kind in mentions:
+        for of in BASE if kind is None else ():
+            if patterns.get((p, of), 0) >= min_confidence and belief[value, of] >= min_confidence:
+                best[at, s, e] = max(best.get((at, s, e), (0, "")), (patterns[p, of], of))
+    out = defaultdict(list)
+    for (at, s, e), (_, of) in best.items():
+        out[at].append((of, s, e))
+    return out
+
+
+def planted_pii(rng):
+    """Texts in which identifiers of known and unseen forms stand after cues, others without; and which strings are planted."""
+    cues = {"email": ["write to", "mail:", "reach me at"], "phone": ["call me on", "tel"], "ip": ["host at", "server"]}
+    forms = {
+        "email": lambda: f"user{rng.randint(0, 9999)}@mail.example.com",
+        "phone": lambda: f"+44 20 {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}",
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+    }
+    hidden = {
+        "email": lambda: f"user{rng.randint(0, 9999)} at mail dot example dot com",
+        "phone": lambda: f"0{rng.randint(10, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}",
+        "ip": lambda: "-".join(str(rng.randint(100, 255)) for _ in range(4)),
+    }
+    rows, planted = [], set()
+    for i in range(400):
+        parts = [sentence(rng, rng.randint(2, 9))]
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.choice(list(cues))
+            if rng.random() < 0.25:
+                value = hidden[kind]()
+                planted.add((i, kind, value))
+            else:
+                value = forms[kind]()
+            parts += [rng.choice(cues[kind]), value, "then", sentence(rng, rng.randint(2, 9))]
+        if rng.random() < 0.5:  # like the hidden ones, in places without a cue
+            parts += [rng.choice(["order", "part no", "version"]), rng.choice([f"{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(100, 999)}", f"ab{rng.randint(1000, 99999)}x"]), "of", sentence(rng, 4)]
+        rows.append((i, " ".join(parts)))
+    return rows, planted
+
+
+def test_discovery_equals_the_plain_form_and_finds_what_was_planted(docs):
+    rows, planted = planted_pii(random.Random(20))
+    extra = [(900, None), (901, ""), (None, rows[3][1]), (3, rows[3][1]), (902, "x " * 30_000 + "write to someone(at)mail77 then")]
+    rows += extra
+    got = pii.pii_spans(docs(rows).withColumns({c: F.lit("x") for c in ("kind", "pattern", "value", "belief", "_base", "spans")})).collect()
+    plain = plain_pii(rows)
+    want = Counter((i, tuple(sorted([*plain_spans(t), *plain[at]]))) for at, (i, t) in enumerate(rows))
+    assert Counter((r.doc_id, tuple(sorted(tuple(s) for s in r.spans))) for r in got) == want
+    added = {(i, k, t[s:e]) for at, (i, t) in enumerate(rows[:400]) for k, s, e in plain[at]}
+    assert len(planted & added) >= 0.9 * len(planted) and len(planted & added) >= 0.9 * len(added)
+
+
 # --- tokens, codec, packing --------------------------------------------------------------------------
 
 TRICKY = ["", "a  b", "a\n\nb", "  x", "x ", "it's. don't, x", "\tabc", "a \n b", "naïve. Ünï, x", "12. 3, a.b", "a.. b", "<|endoftext|> hi.", "A,\nB.", "x\xa0y. z", "ΣΑΣ. Σ, σ", "a\x1cb. c", "a\x01b", "é́ x", "…, a.,b", "a,. b"]
@@ -508,6 +596,38 @@ def test_quality_without_labels(spark, folder):
     assert [r.score for r in quality.op5_quality(spark, folder([(1, "a")])).collect()] == [0.5]
 
 
+def test_quality_equals_the_plain_form(spark, docs):
+    rng = random.Random(21)
+    rows = [*awkward(), *((500 + i, " ".join(w.upper() + "!" for w in sentence(rng, 70).split())) for i in range(30)), (None, "no id"), (None, None)]
+    labels = spark.createDataFrame([(i, int(i < 500), 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int")
+    table = docs(rows).withColumns({c: F.lit("x") for c in ("score", "__text", "x", "label", "_id")})
+    model = quality.train(table, labels)
+    got = quality.score(table, model, out_col="found").collect()
+    p = model.p
+
+    def plain(text):
+        x, sizes = quality.passages([(text or "").encode()])
+        hidden, weight = [], []
+        for row in x:
+            h = [math.tanh(sum((row[i] - p["mean"][i]) / p["std"][i] * p["w1"][i][j] for i in range(len(row))) + p["b1"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[j] * p["v"][j][k] for j in range(len(h)))) / (1 + math.exp(-sum(h[j] * p["u"][j][k] for j in range(len(h))))) for k in range(quality.ATTENTION)]
+            hidden.append(h)
+            weight.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        mean = [sum(w * h[j] for w, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-sum(m * c for m, c in zip(mean, p["c"], strict=True)) - p["d"][0]))
+
+    assert len(got) == len(rows) and {"score", "x", "label", "__text", "_id"} <= set(got[0].asDict())
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for r in got[:25] + [g for g in got if not g.text or (g.doc_id or 0) > 500][:20]:
+        assert math.isclose(r.found, plain(r.text), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_quality_of_an_empty_table_and_of_ties(spark, folder, docs):
+    assert quality.op5_quality(spark, folder([])).count() == 0
+    even = quality.fit(np.zeros((2, quality.N_FEATURES)), np.array([1, 1]), np.array([1.0, 0.0]), epochs=0)
+    assert [r.score >= 0.5 for r in quality.score(docs([(1, "a"), (2, None)]), even).collect()] == [True, True]  # 0.5 counts as label 1
+
+
 def test_bag_gradients():
     rng = np.random.default_rng(14)
     x, sizes, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0])
