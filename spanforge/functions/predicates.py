@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import CJK, WS, compact, trim
 
-#: Signs of formulas; captions; equation numbers; placeholders that must not stay in an output.
-MATH = r"[=≤≥×÷√∑∏∝≈≠＋＝]|[+*/^]\s*\d|\d\s*[+*/]"
+#: Captions; equation numbers.
 CAPTION = r"(?i)\A(?:Figure|Fig\.?|Table|图|表)\s*\d+\s*(?:[|:：.]|\s)"
-EQUATION_NUMBER = r"\A\(\d{1,3}\)\z"
-REVIEW_MARKERS = ["[image]", "[table]", "[formula]", "needs review"]
+EQUATION_NUMBER = r"\A\(?\d{1,3}\)?\z"
 #: Words at which no sentence ends; a parameter of looks_truncated.
 DANGLING = ["and", "or", "the", "of", "to", "with", "for", "by", "in", "a", "an", "及", "和", "或", "的", "与"]
 
@@ -47,7 +45,8 @@ def is_caption(x: Column) -> Column:
 
 
 def is_equation_number(x: Column) -> Column:
-    return trim(x).rlike(EQUATION_NUMBER)
+    """One to three digits, in parentheses or not."""
+    return compact(x).rlike(EQUATION_NUMBER)
 
 
 def is_number(x: Column) -> Column:
@@ -59,12 +58,12 @@ def is_page_number(x: Column) -> Column:
 
 
 def is_leader(x: Column) -> Column:
-    return x.rlike(rf"\A[{WS}.。·•．…⋯\-_]+\z")
+    return x.rlike(rf"\A[{WS}.。·•．…⋯\-_—－]+\z")
 
 
 def is_bold_label(x: Column, bold: Column) -> Column:
-    """A bold line that starts with a label and a colon."""
-    return bold & x.rlike(r"\A\s*[A-Za-z\x{4E00}-\x{9FFF}][^:：\n]{1,40}[:：]\s*\S")
+    """A bold line that starts with a capitalised or ideographic label and a colon."""
+    return bold & F.regexp_replace(trim(x), rf"[{WS}]+", " ").rlike(r"\A(?:[A-Z][A-Za-z0-9 /&()'\-]{1,48}|[\x{4E00}-\x{9FFF}]{2,16})[:：]\s*\S")
 
 
 def looks_truncated(x: Column, dangling: list[str] = DANGLING) -> Column:
@@ -76,23 +75,9 @@ def looks_truncated(x: Column, dangling: list[str] = DANGLING) -> Column:
 
 
 def continues(previous: Column, following: Column) -> Column:
-    """The line before has no mark at its end and the next starts in lower case."""
-    return ~trim(previous).rlike(r"[.!?。！？;；:：]\z") & following.rlike(r"\A\s*[a-z]")
-
-
-def math_density(x: Column) -> Column:
-    """Share of digits, signs and mathematical letters among the characters that are not white space."""
-    signs = count_of(x, r"[0-9=+\-*/^_(){}\[\]<>|,.≤≥×÷√∑∏∝≈≠∈∞∂∫]|[\x{1D400}-\x{1D7FF}]|[α-ωΑ-Ω]")
-    return signs / F.greatest(F.char_length(compact(x)), F.lit(1))
-
-
-def looks_like_math(x: Column) -> Column:
-    return ~x.rlike(f"[{CJK}]") & (math_density(x) >= 0.55) & x.rlike(MATH)
-
-
-def looks_like_text_formula(x: Column) -> Column:
-    """A readable formula in words: one line, one equal sign, eight ideographs or more."""
-    return ~x.rlike(r"\n") & (count_of(x, "[=＝]") == 1) & (count_of(x, f"[{CJK}]") >= 8)
+    """The line before has no mark at its end and the next starts in lower case; a blank line neither ends nor goes on."""
+    before, after = trim(previous), trim(following)
+    return (before != "") & ~before.rlike(r"[.!?。！？;；:：]\z") & after.rlike(r"\A[a-z]")
 
 
 def is_noise(x: Column, patterns: list[str]) -> Column:
@@ -102,19 +87,24 @@ def is_noise(x: Column, patterns: list[str]) -> Column:
 
 
 def heading_kind(x: Column, height: Column, body_height: Column, n_rows: Column, width: Column, page_width: Column) -> Column:
-    """struct(kind, level) of a recognised row: by numbering, else by height and width."""
+    """struct(kind, level) of a recognised row: by numbering, else by height.
+
+    No heading has more than one row or forty characters, an equal sign, the width of a body line, or a mark at its end
+    after which a sentence goes on; with a colon at its end only a numbered one is.
+    """
     t = trim(x)
-    depth = F.regexp_count(F.regexp_extract(t, r"\A(\d{1,2}(?:[.．]\d{1,2})*)[.．、]?\s*\S", 1), F.lit(r"\d+"))
-    closed = t.rlike(r"[。；;，,：:]\z")
-    short = (F.char_length(t) <= 40) & (n_rows == 1) & ~closed
+    out = (n_rows > 1) | (F.char_length(t) > 40) | t.rlike("[=＝]") | (width > page_width * 0.72) | t.rlike(r"[，、；,;]\z")
+    number = F.regexp_extract(t, r"\A(\d{1,2}(?:[.．]\d{1,2}){0,3})\s*[、.．\s]", 1)
     head = lambda level: F.struct(F.lit("heading").alias("kind"), level.cast("int").alias("level"))
+    none = F.struct(F.lit("para").alias("kind"), F.lit(0).alias("level"))
     return (
-        F.when(t.rlike(r"\A第[一二三四五六七八九十百\d]+[章节条]") & short, head(F.lit(1)))
-        .when(t.rlike(r"\A[一二三四五六七八九十]{1,3}[、.．]") & short, head(F.lit(2)))
-        .when((depth > 0) & short, head(F.least(depth + 1, F.lit(4))))
-        .when(short & (height > body_height * 1.6) & (width < page_width * 0.8), head(F.lit(1)))
-        .when(short & (height > body_height * 1.3) & (width < page_width * 0.8), head(F.lit(2)))
-        .otherwise(F.struct(F.lit("para").alias("kind"), F.lit(0).alias("level")))
+        F.when(out, none)
+        .when(t.rlike(r"\A第[一二三四五六七八九十百\d]{1,3}[章节条部分]"), head(F.lit(1)))
+        .when(t.rlike(r"\A[（(]?[一二三四五六七八九十]{1,3}[、）)．.]"), head(F.lit(2)))
+        .when((number != "") & (F.char_length(t) <= 30), head(F.least(count_of(number, "[.．]") + 3, F.lit(4))))
+        .when(t.rlike(r"[：:]\z"), none)
+        .when((height > body_height * 1.35) & (F.char_length(t) <= 24), head(F.lit(1)))
+        .otherwise(none)
     )
 
 
@@ -133,5 +123,6 @@ def high_risk(kind: Column, stage: Column, flags: Column, text: Column, terms: l
     )
 
 
-def review_markers(markdown: Column, markers: list[str] = REVIEW_MARKERS) -> Column:
+def review_markers(markdown: Column, markers: list[str]) -> Column:
+    """Which of the placeholders that must not stay are in an output."""
     return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(markdown, m))

@@ -114,15 +114,17 @@ def repair_recognised(x: Column) -> Column:
     return apply_rules(x, OCR_RULES)
 
 
-def variants(term: Column) -> Column:
-    """Spellings under which a compact term counts as covered."""
-    spelled = F.array(
-        term,
-        F.regexp_replace(term, "率\\z", ""),
-        F.replace(F.replace(term, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">=")),
-        F.replace(F.replace(term, F.lit("<="), F.lit("≤")), F.lit(">="), F.lit("≥")),
-    )
-    return F.array_distinct(F.filter(spelled, lambda v: v != ""))
+#: What stands for what when coverage is compared (pattern, replacement); marks and a final "rate".
+SPELLINGS = [("率\\z", ""), ("≤", "<="), ("≥", ">="), ("<=", "≤"), (">=", "≥")]
+
+
+def variants(term: Column, spellings: list[tuple[str, str]] = SPELLINGS) -> Column:
+    """Spellings under which a compact term counts as covered: itself, each of the replacements, and all of them in order."""
+    spelled = [term, *[F.regexp_replace(term, p, r) for p, r in spellings]]
+    pairs = [spellings[i : i + 2] for i in (1, 3) if len(spellings) >= i + 2]
+    for pair in pairs:
+        spelled.append(apply_rules(term, pair))
+    return F.array_distinct(F.filter(F.array(*spelled), lambda v: v != ""))
 
 
 def covers(haystack: Column, term: Column) -> Column:
@@ -130,40 +132,51 @@ def covers(haystack: Column, term: Column) -> Column:
     return F.exists(variants(compact_signs(term)), lambda v: F.contains(haystack, v))
 
 
-#: A number with an optional unit, not glued to a letter before it.
-NUMBER = r"(?:\A|[^A-Za-z0-9.,])(\d+(?:[.,]\d+)?(?:%|％|s|S|km|KM)?)"
+#: Fixed value: a number with an optional unit, not right after an ASCII letter.
+NUMBER = rf"(?<![A-Za-z])(\d+(?:[.,]\d+)?[{WS}]*(?:%|％|s|S|秒|分|单|天气|天|公里|km|KM)?)"
 
 
 def numeric_anchors(x: Column, most: int = 80) -> Column:
-    """The first distinct numbers worth looking for: single digits and plain integers below 100 are not."""
-    found = F.transform(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(1)), lambda t: F.replace(t, F.lit(","), F.lit("")))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: ~t.rlike(r"\A\d{1,2}\z"))), 1, most)
+    """The first distinct numbers worth looking for, compact and without commas: plain integers below 100 are not, nor is what
+    only reads as days because weather follows."""
+    found = F.transform(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(1)), lambda t: F.replace(compact_signs(t), F.lit(","), F.lit("")))
+    return F.slice(F.array_distinct(F.filter(found, lambda t: ~t.rlike(r"\A\d{1,2}\z|天气\z"))), 1, most)
 
 
 def missing_numbers(source: Column, target: Column, most: int = 80) -> Column:
     """Numbers of the source that the target lacks; a percent sign may be full width, a final .0 or unit s may be missing."""
     flat = F.translate(compact_signs(target), ",，", "")
     spelled = lambda t: F.array(t, F.regexp_replace(t, r"\.0\z", ""), F.regexp_replace(t, r"[sS]\z", ""))
-    return F.filter(numeric_anchors(source, most), lambda t: ~F.exists(spelled(F.translate(t, "％", "%")), lambda v: F.contains(flat, v)))
+    return F.filter(numeric_anchors(source, most), lambda t: ~F.exists(spelled(t), lambda v: F.contains(flat, v)))
 
 
-def wrap(x: Column, limit: int = 180) -> Column:
-    """array of lines of at most limit characters where words allow it: words are packed greedily; a longer word is cut.
-
-    A text without spaces is cut after marks where one stands in the last third of a line, else at the limit.
-    """
-    pieces = F.flatten(F.transform(F.regexp_extract_all(x, F.lit(rf"(\S{{1,{limit}}})"), F.lit(1)), lambda w: F.array(w)))
+def _packed(pieces: Column, limit: int, gap: str) -> Column:
+    """Pieces put together, ``gap`` between them, while a line stays within the limit; a longer piece is a line of its own."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
-    def add(acc: Column, w: Column) -> Column:
-        fits = F.char_length(acc["line"]) + 1 + F.char_length(w) <= limit
+    def add(acc: Column, piece: Column) -> Column:
+        longer = F.concat(acc["line"], F.lit(gap), piece)
         return (
-            F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), w.alias("line")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), w).alias("line")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), w.alias("line")))
+            F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), piece.alias("line")))
+            .when(F.char_length(longer) <= limit, F.struct(acc["done"].alias("done"), longer.alias("line")))
+            .otherwise(F.struct(F.concat(acc["done"], F.array(trim(acc["line"]))).alias("done"), piece.alias("line")))
         )
 
-    return F.aggregate(pieces, empty, add, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
+    lines = F.aggregate(pieces, empty, add, lambda acc: F.concat(acc["done"], F.array(trim(acc["line"]))))
+    return F.filter(lines, lambda x: x != "")
+
+
+def wrap(x: Column, limit: int = 180) -> Column:
+    """array of lines of about ``limit`` characters, the text itself if it is within it.
+
+    A text with spaces and fewer ideographs than a fifth is packed by words, any other by what marks end. What has
+    neither is cut at the limit.
+    """
+    by_words = F.contains(x, F.lit(" ")) & (F.regexp_count(x, F.lit(f"[{CJK}]")) < F.char_length(x) * 0.2)
+    words = _packed(F.regexp_extract_all(x, F.lit(rf"([^{WS}]+)"), F.lit(1)), limit, " ")
+    parts = _packed(F.regexp_extract_all(x, F.lit(r"(?s)([^。；;，、+＋=＝:：]+|[。；;，、+＋=＝:：])"), F.lit(1)), limit, "")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1)), F.lit(limit)), lambda at: F.substring(x, at, F.lit(limit)))
+    return F.when(F.char_length(x) <= limit, F.array(x)).when(by_words & (F.size(words) > 0), words).when(F.size(parts) > 1, parts).otherwise(F.filter(cut, lambda c: c != ""))
 
 
 def split_glued_numbers(x: Column, count: int) -> Column:

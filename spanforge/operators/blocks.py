@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.formulas import short_math_block
 from ..functions.text import heading_level, numbering, trim
 from .intervals import sessions
 
@@ -73,7 +74,7 @@ def low_confidence_groups(blocks: DataFrame, doc: str = "doc_id", gap: float = 2
 
 def promote_math(blocks: DataFrame, doc: str = "doc_id", dy: float = 18.0, dx: float = 80.0) -> DataFrame:
     """Short mathematical paragraphs near a formula block of their page get the flag formula_text."""
-    short = (F.char_length("text") <= 48) & P.looks_like_math(F.col("text")) & (F.col("kind") == "para")
+    short = short_math_block(F.col("text")) & (F.col("kind") == "para") & ~F.array_contains("flags", "formula_text")
     formula = blocks.filter(F.array_contains("flags", "formula_text")).select(F.col(doc).alias("_d"), F.col("page").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1", "seq")])
     near = (
         (F.greatest(F.col("y0") - F.col("_y1"), F.col("_y0") - F.col("y1"), F.lit(0.0)) <= dy)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import compact
 from . import intervals
 
 #: Pixels: gap between rules of one table; text inset; reach of a table over its lines.
@@ -55,6 +58,7 @@ def figure_gaps(lines: DataFrame, tables: DataFrame, bands: DataFrame, pages: Da
         lines.select(*key, (F.col("y0") - pad).alias("a"), (F.col("y1") + pad).alias("b"))
         .unionByName(tables.select(*key, F.col("y0").alias("a"), F.col("y1").alias("b")))
         .unionByName(bands.select(*key, F.col("y0").alias("a"), F.col("y1").alias("b")))
+        .unionByName(pages.select(*key, F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))  # a page without anything is one gap
     )
     merged = intervals.merge(covered, key, "a", "b").join(pages.select(*key, "page_h"), key)
     return intervals.uncovered(merged, key, "a", "b", F.lit(0.0), F.col("page_h"), min_gap)
@@ -84,18 +88,40 @@ def merge_regions(regions: DataFrame, barriers: DataFrame, key: list[str], gap:
     return marked.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w)).groupBy(*key, "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
-def accept_rereading(blocks: DataFrame, second: DataFrame, key: list[str], gain: float = 0.15, length: float = 0.6) -> DataFrame:
-    """Blocks with text, confidence and flags after a second recognition: it is taken if it agrees, or if it is surer by
-    ``gain`` and not much shorter; else the block is flagged low_confidence."""
+def accept_rereading(
+    blocks: DataFrame, second: DataFrame, key: list[str], threshold: float = 0.45, gain: float = 0.15, length: float = 0.6, clean: Callable[[Column], Column] | None = None, watermark: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Text blocks below the threshold after a second recognition; all others as they are.
+
+    Readings that agree but for white space are trusted: the confidence is the greatest of both and the threshold. A reading
+    surer by more than ``gain`` and not much shorter takes the place of the first. What is below the threshold even so, or
+    has no second reading, is flagged low_confidence unless its text is ``clean``; a reading with a watermark is not
+    looked at and flags the block.
+    """
     s = second.select(*key, F.col("text").alias("_t"), F.col("confidence").alias("_c"))
     both = blocks.join(s, key, "left")
-    same = F.regexp_replace("text", r"\s", "") == F.regexp_replace("_t", r"\s", "")
-    better = (F.col("_c") >= F.col("confidence") + gain) & (F.char_length("_t") >= F.char_length("text") * length)
-    flagged = F.array_union("flags", F.array(F.lit("low_confidence")))
-    return (
-        both.withColumn("flags", F.when(F.col("_t").isNull() | same | better, F.col("flags")).otherwise(flagged))
-        .withColumn("_take", F.coalesce(~same & better, F.lit(False)))
-        .withColumn("text", F.when(F.col("_take"), F.col("_t")).otherwise(F.col("text")))
-        .withColumn("confidence", F.greatest("confidence", F.coalesce("_c", "confidence")))
-        .drop("_t", "_c", "_take")
+    flat = lambda c: compact(F.coalesce(c, F.lit("")))
+    old, new, conf, conf2 = flat(F.col("text")), flat(F.col("_t")), F.col("confidence"), F.col("_c")
+    looked = F.col("kind").isin("para", "heading") & (conf < threshold)
+    marked = F.col("_t").isNotNull() & (watermark(F.col("_t")) if watermark else F.lit(False))
+    same = F.col("_t").isNotNull() & (old == new)
+    taken = F.col("_t").isNotNull() & ~same & (conf2 > conf + gain) & (F.char_length(new) >= F.char_length(old) * length)
+    text = F.when(looked & ~marked & taken, F.col("_t")).otherwise(F.col("text"))
+    sound = clean(text) if clean else F.lit(False)
+    state = (
+        F.when(~looked, "as it was")
+        .when(marked, "flagged")
+        .when(same, "agreed")
+        .when(taken & (conf2 >= threshold), "taken")
+        .when(sound, "clean")
+        .otherwise("flagged")
+    )
+    surer = (
+        F.when(F.col("_state") == "agreed", F.greatest(conf, conf2, F.lit(threshold)))
+        .when(F.col("_state") == "clean", F.greatest(F.when(taken, conf2).otherwise(conf), F.lit(threshold)))
+        .when(looked & ~marked & taken, conf2)
+        .otherwise(conf)
     )
+    flags = F.when(F.col("_state") == "flagged", F.array_union("flags", F.array(F.lit("low_confidence")))).otherwise(F.col("flags"))
+    done = both.withColumn("_state", state).select(*[c for c in blocks.columns if c not in ("text", "confidence", "flags")], text.alias("text"), surer.alias("confidence"), flags.alias("flags"))
+    return done.select(*blocks.columns)

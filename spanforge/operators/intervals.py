@@ -11,7 +11,7 @@ def merge(intervals: DataFrame, key: list[str], start: str, end: str) -> DataFra
     w = Window.partitionBy(*key).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = intervals.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1))
-    return marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
+    return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
 def uncovered(merged: DataFrame, key: list[str], start: str, end: str, low: Column, high: Column, min_gap: float) -> DataFrame:
@@ -43,11 +43,13 @@ def in_bands(rows: DataFrame, bands: DataFrame, key: list[str], value: Column, b
 
 
 def sessions(rows: DataFrame, key: list[str], order: Column, top: Column, bottom: Column, gap: float) -> DataFrame:
-    """The rows with ``session`` (from 1): a row joins while its top is within gap of the greatest bottom so far."""
+    """The rows with ``session`` (from 1): a row joins while its top is within gap of the greatest bottom so far. Rows of one
+    order follow each other by top, then bottom."""
     ordered = rows.withColumn("_o", order).withColumn("_t", top).withColumn("_b", bottom)
-    w = Window.partitionBy(*key).orderBy("_o")
+    w = Window.partitionBy(*key).orderBy("_o", "_t", "_b")
     before = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return ordered.withColumn("_new", F.when(F.col("_t") - before <= gap, 0).otherwise(1)).withColumn("session", F.sum("_new").over(w)).drop("_o", "_t", "_b", "_new")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return ordered.withColumn("_new", F.when(F.col("_t") - before <= gap, 0).otherwise(1)).withColumn("session", F.sum("_new").over(so_far)).drop("_o", "_t", "_b", "_new")
 
 
 def periodic(rows: DataFrame, key: list[str], y: str, min_n: int = 3, min_gap: float = 500.0, max_cv: float = 0.45) -> DataFrame:

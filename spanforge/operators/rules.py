@@ -12,7 +12,7 @@ from ..functions.text import apply_rules, compact, rule_notes
 
 #: Symbol and spacing repairs that hold for any text (pattern, replacement, label).
 NORMALISE = [
-    (r"[\x{FF10}-\x{FF19}](?=[\x{FF10}-\x{FF19}])", "$0", "full_width_digits"),
+    *[(chr(0xFF10 + d), str(d), "full_width_digits") for d in range(10)],
     (r"(?<=\d) (?=\d{3}\b)", "", "digit_space"),
     (r"[ \t]{2,}", " ", "spaces"),
     (r"(?<=[\x{4E00}-\x{9FFF}])\s+(?=[\x{4E00}-\x{9FFF}])", "", "cjk_space"),
@@ -20,20 +20,28 @@ NORMALISE = [
 ]
 
 
+#: Rules of a pack, all of which are broadcast.
+MOST_RULES = 10_000
+
+
 def normalise(text: Column, rules: list[tuple[str, str, str]] = NORMALISE) -> Column:
     return apply_rules(text, [(p, r) for p, r, _ in rules])
 
 
 def notes(rows: DataFrame, doc: str, text: str, rules: list[tuple[str, str, str]] = NORMALISE) -> DataFrame:
-    """doc, note, n over all texts of a document."""
+    """doc, note, n over all texts of a document; rules of one label count together."""
     return rows.select(doc, F.explode(rule_notes(F.col(text), rules)).alias("s")).groupBy(doc, F.col("s.label").alias("note")).agg(F.sum("s.n").alias("n"))
 
 
 def insert_missing(blocks: DataFrame, pack: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Blocks and, where a document has a pack's trigger but lacks its required text, the pack's block after the trigger.
 
-    pack: trigger, required, kind, text, level. The new block stands at its trigger's place (seq, then part).
+    pack: trigger, required, kind, text, level. The new block stands at its trigger's place (seq, then part). Every text
+    is held against every trigger: a pack has ``MOST_RULES`` rows at most.
     """
+    n = pack.limit(MOST_RULES + 1).count()
+    if n > MOST_RULES:
+        raise ValueError(f"a pack has {MOST_RULES} rules at most")
     own = blocks.withColumn("part", F.lit(0)).withColumn("origin", F.lit("read"))
     flat = own.withColumn("_c", compact(F.coalesce("text", F.lit(""))))
     hits = flat.join(F.broadcast(pack.withColumnRenamed("text", "_text").withColumnRenamed("kind", "_kind").withColumnRenamed("level", "_level")), F.contains(F.col("_c"), compact(F.col("trigger"))))

@@ -326,8 +326,8 @@ SQL = {
     "truncated_lines": rf"""WITH {_LINES}, t AS (SELECT doc_id, line_no, {_TRIM("regexp_replace(line, '[.,]\\z', '')")} AS t FROM ln)
         SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM t WHERE length(t) >= 12 AND regexp_matches(t, '(?:\A|{_W})(?:the|of|and|der|und|de|la|el)\z') GROUP BY doc_id""",
     "numeric_anchors_missing": rf"""WITH d AS (SELECT doc_id, text, {_SHORT} AS o FROM documents),
-        m AS (SELECT doc_id, o, list_transform(regexp_extract_all(text, '(?:\A|[^A-Za-z0-9.,])(\d+(?:[.,]\d+)?(?:%|％|s|S|km|KM)?)', 1), lambda t: replace(t, ',', '')) AS ts FROM d),
-        f AS (SELECT doc_id, o, list_filter(ts, lambda t: NOT regexp_matches(t, '\A\d{{1,2}}\z')) AS ts FROM m),
+        m AS (SELECT doc_id, o, list_transform(regexp_extract_all(regexp_replace(text, '([A-Za-z])\d', '\1!', 'g'), '\d+(?:[.,]\d+)?{_W}*(?:%|％|s|S|秒|分|单|天气|天|公里|km|KM)?'), lambda t: replace({_COMPACT("t")}, ',', '')) AS ts FROM d),
+        f AS (SELECT doc_id, o, list_filter(ts, lambda t: NOT regexp_matches(t, '\A\d{{1,2}}\z|天气\z')) AS ts FROM m),
         u AS (SELECT doc_id, o, list_transform(range(1, len(ts) + 1), lambda i: {{'i': i, 't': ts[i]}}) AS ts FROM f),
         e AS (SELECT doc_id, min(i) AS i, t FROM (SELECT doc_id, unnest(ts).i AS i, unnest(ts).t AS t FROM u) GROUP BY doc_id, t),
         r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),

@@ -72,7 +72,31 @@ def test_tables_and_figures(spark):
 
 
 def test_rereading(spark):
-    blocks = spark.createDataFrame([(1, "abc", 0.3), (2, "abcd", 0.3), (3, "abc", 0.3)], "i int, text string, confidence double").withColumn("flags", F.array().cast("array<string>"))
-    second = spark.createDataFrame([(1, "a bc", 0.4), (2, "xyz", 0.6), (3, "q", 0.32)], "i int, text string, confidence double")
-    out = figures.accept_rereading(blocks, second, ["i"]).orderBy("i").collect()
-    assert [(r.text, r.flags) for r in out] == [("abc", []), ("xyz", []), ("abc", ["low_confidence"])]
+    kinds = {7: "table"}
+    old = {1: ("abc", 0.3), 2: ("abcd", 0.3), 3: ("abc", 0.3), 4: ("abc", 0.3), 5: ("abcdef", 0.1), 6: ("Scope ... 7", 0.2), 7: ("abc", 0.1), 8: ("abc", 0.5), 9: ("abc", 0.3), 10: ("abc", 0.2)}
+    new = {1: ("a bc", 0.4), 2: ("xyz", 0.6), 3: ("q", 0.32), 5: ("vwxyz", 0.3), 6: ("other", 0.21), 7: ("xyz", 0.9), 8: ("xyz", 0.9), 9: ("xyzmark", 0.9), 10: ("xyz", 0.35)}
+    blocks = spark.createDataFrame([(i, kinds.get(i, "para"), *v) for i, v in old.items()], "i int, kind string, text string, confidence double").withColumn("flags", F.array().cast("array<string>"))
+    second = spark.createDataFrame([(i, *v) for i, v in new.items()], "i int, text string, confidence double")
+    clean = lambda c: c.rlike(r"\d\z")
+    out = figures.accept_rereading(blocks, second, ["i"], clean=clean, watermark=lambda c: c.rlike("mark")).orderBy("i").collect()
+    low = ["low_confidence"]
+    assert [(r.text, r.confidence, r.flags) for r in out] == [
+        ("abc", 0.45, []),  # agrees
+        ("xyz", 0.6, []),  # surer
+        ("abc", 0.3, low),  # no surer
+        ("abc", 0.3, low),  # no second reading
+        ("vwxyz", 0.3, low),  # surer, yet below the threshold
+        ("Scope ... 7", 0.45, []),  # unsure but clean
+        ("abc", 0.1, []),  # a table
+        ("abc", 0.5, []),  # above the threshold
+        ("abc", 0.3, low),  # a watermark in the second reading
+        ("abc", 0.2, low),  # surer by the gain, not more
+    ]
+
+
+def test_a_page_without_lines_is_one_gap(spark):
+    nothing = spark.createDataFrame([], "p int, y0 double, y1 double")
+    lines = spark.createDataFrame([(1, 200.0, 220.0)], "p int, y0 double, y1 double")
+    pages = spark.createDataFrame([(1, 400.0), (2, 500.0)], "p int, page_h double")
+    out = figures.figure_gaps(lines, nothing, nothing, pages, ["p"]).collect()
+    assert sorted((r.p, r.gap_start, r.gap_end) for r in out) == [(1, 0.0, 192.0), (1, 228.0, 400.0), (2, 0.0, 500.0)]

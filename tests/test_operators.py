@@ -145,7 +145,7 @@ def test_rules(spark):
 def test_heading_kind(spark):
     df = spark.createDataFrame([("第一章 总则", 10.0), ("2.1 Scope", 10.0), ("big", 20.0), ("plain text here, which goes on.", 10.0)], "t string, h double")
     out = df.select("t", P.heading_kind(F.col("t"), F.col("h"), F.lit(10.0), F.lit(1), F.lit(100.0), F.lit(500.0)).alias("k")).collect()
-    assert [(r.k.kind, r.k.level) for r in out] == [("heading", 1), ("heading", 3), ("heading", 1), ("para", 0)]
+    assert [(r.k.kind, r.k.level) for r in out] == [("heading", 1), ("heading", 4), ("heading", 1), ("para", 0)]
 
 
 def test_stream(spark, sf_dir, tmp_path):
