@@ -101,7 +101,7 @@ def fold(of_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(of_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of about max_bytes of the given binary column, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -7,8 +7,9 @@ a sample of the texts repeats stand last in it, which keeps buckets small and ch
 Covering locality-sensitive hashing over SimHash fingerprints of the same shingles (``simhash.links``) gives the first
 pairs, prefixes find those beyond its radius. All pairs are verified on their whole sets, after a bound that loses none: each
 set has a map of parities, four or more for each member, and two maps of one size differ in at most as many bits as the sets
-differ in members; a map folds to half its size. To spare the pairs of large groups, each bucket is first held against one of its own members; texts that links connect by then need no
-pair of their own. What still shares a bucket and is not connected is compared pair by pair, nothing is capped.
+differ in members; a map folds to half its size. To spare the pairs of large groups, each bucket is first held against one
+of its own members; texts that links connect by then need no pair of their own. What still shares a bucket and is not connected is compared map by map where the bucket stands, in blocks,
+and only pairs whose maps allow the similarity leave it; nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from .simhash import RADIUS, links as covering_links, majority_bits
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: About so many texts are looked at for common shingles, and at most so many of those are known. Only time depends on it.
 SAMPLE_DOCS, COMMON = 5_000, 200_000
-#: Rounds of one comparison a member before pairs, and the pairs a row of the buckets at which they are not needed.
-STAR_ROUNDS, FEW_PAIRS = 3, 4
+#: Rounds of one comparison a member before maps are compared, and the rows of a block of a bucket.
+STAR_ROUNDS, BLOCK_ROWS = 2, 4096
+#: Words of maps that are compared at a time.
+_CELLS = 1 << 22
 #: Texts that share a bucket are found by a broadcast up to so many.
 BROADCAST_TEXTS = 2_000_000
 #: Bits of the map of a set: a power of two, of so many at least and so many for each member.
@@ -104,6 +107,79 @@ def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "src").join(two, "dst").filter(fits).filter(F.when(F.greatest(F.size("_a"), F.size("_b")) <= 2 * F.least(F.size("_a"), F.size("_b")), apart).otherwise(0) <= most * both + 1e-6).select("src", "dst")
 
 
+def _allowed(n1: np.ndarray, maps1: np.ndarray, n2: np.ndarray, maps2: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets whose sizes and maps (rows of one width) allow the similarity."""
+    most = (1 - similarity) / (1 + similarity)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, _CELLS // max(maps2.size, 1))
+    for i in range(0, len(n1), step):
+        a, b = n1[i : i + step, None], n2[None, :]
+        fits = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+        apart = np.bitwise_count(maps1[i : i + step, None, :] ^ maps2[None, :, :]).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero(fits & (apart <= most * (a + b) + 1e-6))
+        first.append(x + i)
+        second.append(y)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def block_pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Index pairs of unlike labels that the maps allow: of rows of sides 0 and 1, or of any rows where all are on side 2."""
+    width = np.array([len(m) for m in maps], np.int64)
+    found = []
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        wide = np.flatnonzero(width == 2 * w)
+        here = np.stack([maps[i] for i in own])
+        pairs = [(own, here, own, here)]
+        if len(wide):
+            folded = np.stack([maps[i] for i in wide])
+            pairs.append((own, here, wide, folded[:, :w] ^ folded[:, w:]))
+        for left, m1, right, m2 in pairs:
+            x, y = _allowed(n[left], m1, n[right], m2, similarity)
+            x, y = left[x], right[y]
+            keep = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 2)) & ((left is not right) | (x < y))
+            found.append(np.stack([x[keep], y[keep]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """src, dst of the pairs that maps allow in each bucket; rows: key, c (rows of the key), node, n, label, map.
+
+    A bucket above block_rows is dealt into blocks, each pair of which is a bucket of its own.
+    """
+    blocks = F.ceil(F.col("c") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    part = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))))
+    dealt = rows.select("key", "node", "n", "label", "map", part.alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("bucket"), "p.side", "node", "n", "label", "map")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; one may cross batches."""
+
+        def pairs(bucket: pa.RecordBatch) -> pa.RecordBatch:
+            side, node, n, label = (bucket.column(i).to_numpy() for i in range(1, 5))
+            lists = bucket.column(5)
+            flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            found = block_pairs(n, label, side, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], similarity)
+            x, y = node[found[:, 0]], node[found[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["src", "dst"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy()
+            edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield pairs(batch.slice(a, b - a))
+            rest = batch.slice(int(edge[-1]))
+        if rest is not None:
+            yield pairs(rest)
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "src long, dst long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (src, dst), those whose sets reach the similarity."""
     one = sets.select(F.col("node").alias("src"), F.col("grams").alias("_a"))
@@ -112,11 +188,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "src").join(two, "dst").filter(both >= similarity * (F.size("_a") + F.size("_b") - both) - 1e-9).select("src", "dst")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: ``id_col``, text_hash (of the text, a null as empty), component (long).
 
     Texts link at a Jaccard similarity of their sets of ``words``-word shingles of ``similarity`` or more; component names
-    what links connect; ``radius`` (of the first pairs) changes no result. Words are compared in lower case (ASCII); texts without words link to each other only. An empty
+    what links connect; ``radius`` (of the first pairs) and ``block_rows`` change no result. Words are compared in lower case (ASCII); texts without words link to each other only. An empty
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -155,8 +231,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a text of each set; its map for the sets that share a bucket or a fingerprint
     meant = materialize(found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("map").alias("map")), "near-meant")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(_possible(pairs, meant, similarity), "near-pairs")
+    def checked(pairs: DataFrame, possible: bool = False) -> DataFrame:
+        pairs = materialize(pairs if possible else _possible(pairs, meant, similarity), "near-pairs")
         ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
         wanted = materialize(meant.select("node", "text_hash").join(ends, "node", "left_semi").select("text_hash"), "near-wanted")
         few = wanted.count() <= BROADCAST_TEXTS
@@ -182,20 +258,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", seed).alias("h"), "node", "n", "label")).alias("top")
         )
         loose = materialize(centre.filter("low <> high").select("key", "c", F.col("top.node").alias("dst"), F.col("top.n").alias("m"), F.col("top.label").alias("to")), "near-loose")
-        total = loose.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
-        if not total["rows"]:
+        if loose.isEmpty():
             break
-        last = turn == STAR_ROUNDS or total["pairs"] <= FEW_PAIRS * total["rows"]
-        mine = named.join(loose, "key") if not last else named.join(loose.select("key"), "key")
-        if last:
-            other = mine.select("key", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("label").alias("to"))
-            mine = mine.join(other, "key").filter("node < dst")
-        apart = mine.filter("label <> to").filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
-        good = checked(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct())
+        if turn < STAR_ROUNDS:
+            mine = named.join(loose, "key")
+            apart = mine.filter("label <> to").filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+            good = checked(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct())
+        else:
+            rows = named.join(loose.select("key", "c"), "key").join(meant.select("node", "map"), "node")
+            good = checked(_bucket_pairs(rows, similarity, block_rows), possible=True)
         links = links.union(good)
         labels = materialize(components(links), "near-labels")
         drop_shared(loose)
-        if last:
-            break
     out = texts.select("id", "text_hash").join(found.select("text_hash", "node").distinct(), "text_hash")
     return out.join(labels, "node", "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("label", "node").alias("component"))

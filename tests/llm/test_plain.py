@@ -687,12 +687,13 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, few):
+@pytest.mark.parametrize(("rounds", "block"), [(2, 4096), (0, 4096), (0, 5)])
+def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, rounds, block):
     import corpus_pipeline as pipeline
     from spanforge.llm import near
 
-    monkeypatch.setattr(near, "FEW_PAIRS", few)  # stars first, or pairs at once
+    monkeypatch.setattr(near, "STAR_ROUNDS", rounds)  # stars first, or maps at once
+    monkeypatch.setattr(near.near_groups, "__defaults__", (*near.near_groups.__defaults__[:-1], block))
     rng = random.Random(27)
     common = sentence(rng, 40)
     rows = [(i, f"{sentence(rng, rng.randint(1, 80))} {common if i % 3 == 0 else ''}") for i in range(80)]
