@@ -30,7 +30,15 @@ class Pack:
     region_terms: list[str] = field(default_factory=list)
     review_markers: list[str] = field(default_factory=list)
     clean_fields: str = ""
-    total_prefix: str = ""
+    region_anchors: list[str] = field(default_factory=list)
+    raw_terms: list[str] = field(default_factory=list)
+    raw_row_terms: list[str] = field(default_factory=list)
+    raw_anchors: list[str] = field(default_factory=list)
+    image_terms: list[str] = field(default_factory=list)
+    formula_lead: str = ""
+    formula_item: str = ""
+    not_headings: list[str] = field(default_factory=list)
+    contents_exempt: str = ""
 
 
 EMPTY = Pack()
@@ -55,4 +63,14 @@ POLICY = Pack(
     high_risk_terms=["考核目标", "考核目标举例", "核算公式", "计算公式", "计分公式", "指标定义", "得分范围", "普通场景算分示例", "特殊场景算分示例", "融合后体验得分"],
     review_markers=["图示/低置信区域未能可靠文本化", "低置信区域（需核对）", "表格结构需核对", "公式原文（需核对）"],
     clean_fields=r"\A\d{1,2}[.．]\s*站点ID[:：]\s*_?站点名称\z",
+    region_terms=["检核", "管控规则", "违规说明", "消毒", "装备", "早会", "考核规则", "考核目标", "核算公式", "计算公式", "指标定义", "数据来源", "查询路径", "申诉", "责任承担", "违约", "整改"],
+    region_anchors=["线下检核", "线上视频检核", "站点线上早会", "骑手餐箱消毒", "骑手装备检核", "区域商管控规则", "物防设施管理", "责任承担", "查询路径", "申诉路径", "整改", "违约", "检核项目", "内容", "考核方式", "考核指标", "天气等级", "考核规则", "考核目标", "普通场景算分示例", "特殊场景算分示例", "融合后体验得分", "指标", "分子数值", "分母数值", "达标率", "满分目标", "权重", "数据来源", "普通场景", "特殊场景", "备注"],
+    raw_terms=["考核规则", "考核目标", "核算公式", "计算公式", "指标定义", "数据来源", "普通场景算分示例", "特殊场景算分示例", "融合后体验得分", "降星规则", "查询路径"],
+    raw_row_terms=["指标", "规则", "备注", "得分", "权重"],
+    raw_anchors=["考核方式", "考核指标", "天气等级", "考核规则", "考核目标", "考核目标举例", "普通场景体验满分目标", "特殊场景体验满分目标", "核算公式", "普通场景算分示例", "特殊场景算分示例", "融合后体验得分", "指标", "分子数值", "分母数值", "达标率", "满分目标", "权重", "得分", "普通场景", "特殊场景", "备注", "数据来源", "查询路径", "KA品牌负向反馈率", "虚假点送达率", "虚假点送达", "配送原因未完成率", "复合准时率", "承托比", "复合超时时长", "KA品牌客诉率", "40天气免责", "HD尾单", "专送兜底"],
+    image_terms=["公式", "计算口径", "指标", "数据来源", "考核范围", "规则", "得分", "费率", "金额", "单量", "完成率", "达标率"],
+    formula_lead=r"\A.*?(?:结果计算公式|计算方式|核算公式|计算公式|计分公式)[:：]?|\A(?:核算公式|计算公式|计分公式|计分规则\d*|指标定义)",
+    formula_item=r"\A(?:考核项|项目|指标|内容|列\d+)[:：]?",
+    not_headings=["订单占比", "口径准时率", "完成订单量"],
+    contents_exempt=r"\A(?:目的|附则)\z",
 )
