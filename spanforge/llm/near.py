@@ -225,7 +225,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = texts.select("text_hash", F.col("text").cast("binary").alias("text"))
     found = materialize(plain.mapInArrow(prefixes, "text_hash long, node long, n long, fp long, map array<long>, keys array<long>"), "near-prefixes")
     rows = found.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # of shingles that the same texts share, as those of a passage are, one is enough
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *members).filter("c > 1").groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     buckets = materialize(rows.join(shared, "key"), "near-buckets")
     release(spark)
     # a text of each set; its map for the sets that share a bucket or a fingerprint
