@@ -17,6 +17,7 @@ from ..functions import geometry as G
 from ..functions import grids
 from ..functions.packs import EMPTY, Pack
 from ..functions.text import compact, compact_signs, covers, missing_numbers, trim
+from ..store import cut
 from . import sequences
 
 #: Issues of a kind that are kept for a document, and terms of one issue that are shown.
@@ -204,7 +205,7 @@ def readability(markdown: DataFrame, doc: str) -> DataFrame:
 
 def audit(blocks: DataFrame, raw: DataFrame, regions: DataFrame, markdown: DataFrame, doc: str = "doc_id", pack: Pack = EMPTY, pdf: DataFrame | None = None, complex_table: Column | None = None) -> DataFrame:
     """doc, check, detail: all checks united, each issue once."""
-    source = source_text(doc, pdf, raw, regions)
+    source = cut(source_text(doc, pdf, raw, regions), "source")
     parts = [
         review_markers(markdown, doc, pack),
         contents_coverage(markdown, doc, pack),

@@ -13,6 +13,7 @@ from ..functions import geometry as G
 from ..functions import grids
 from ..functions import predicates as P
 from ..functions.text import clean_leaders, compact, join_lines, trim
+from ..store import cut
 from . import bands as B
 from . import figures, folds
 
@@ -175,18 +176,18 @@ def assemble(lines: DataFrame, pages: DataFrame, rules: DataFrame, verticals: Da
     noise; ruled regions become tables with the lines in them; heights without lines, tables or bands become images;
     what is left becomes paragraphs and headings.
     """
-    page = F.struct(*key)
-    tall = lines.join(pages, key).withColumn("_doc", page)
-    found = B.anchors(tall, "_doc")
-    clear = figures.rules_off_text(rules, lines, key)
-    banded = B.bands(tall, found, clear.withColumn("_doc", page), "_doc")
-    kept = B.strip(tall, found, banded, "_doc").filter(~P.is_noise(F.col("text"), noise)).select(*lines.columns)
-    regions = column_edges(figures.table_regions(clear, key), verticals, key)
-    tables = table_blocks(kept, regions, header_words, noise, key)
+    page = F.to_json(F.struct(*key))
+    tall = cut(lines.join(pages, key).withColumn("_doc", page), "lines")
+    found = cut(B.anchors(tall, "_doc"), "anchors")
+    clear = cut(figures.rules_off_text(rules, lines, key).withColumn("_doc", page), "rules")
+    banded = cut(B.bands(tall, found, clear, "_doc"), "bands")
+    kept = cut(B.strip(tall, found, banded, "_doc").filter(~P.is_noise(F.col("text"), noise)).select(*lines.columns), "kept-lines")
+    regions = cut(column_edges(figures.table_regions(clear.drop("_doc"), key), verticals, key), "regions")
+    tables = cut(table_blocks(kept, regions, header_words, noise, key), "tables")
     free = figures.lines_of_tables(kept, tables, key, "left_anti")
-    own_bands = banded.select("_doc.*", "y0", "y1")
+    own_bands = banded.join(pages.select(*key, page.alias("_doc")), "_doc").select(*key, "y0", "y1")
     gaps = figures.figure_gaps(lines, regions, own_bands, pages, key)
-    paras = paragraphs(rows_of(free, key), pages, key)
+    paras = cut(paragraphs(cut(rows_of(free, key), "rows"), pages, key), "paragraphs")
     text_rows, flags = F.lit(None).cast("array<array<string>>"), F.array().cast("array<string>")
     columns = [*key, "kind", "text", "level", "rows", "x0", "y0", "x1", "y1", "confidence", "flags"]
     pictures = gaps.join(pages, key).select(*key, F.lit("image").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("level"), text_rows.alias("rows"), F.lit(0.0).alias("x0"), F.col("gap_start").alias("y0"), F.col("page_w").cast("double").alias("x1"), F.col("gap_end").alias("y1"), F.lit(1.0).alias("confidence"), flags.alias("flags"))
