@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_more
+from . import queries_more, queries_pages
 from .functions import geometry as G
 from .functions import grids, text
 from .functions import predicates as P
@@ -274,7 +274,7 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in [*QUERIES, *queries_more.QUERIES]}
+    return {q.__name__: q for q in [*QUERIES, *queries_more.QUERIES, *queries_pages.QUERIES]}
 
 
 _W = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -388,4 +388,4 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | queries_more.SQL
+    return SQL | queries_more.SQL | queries_pages.SQL
