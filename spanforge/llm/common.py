@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -101,6 +103,14 @@ def fold(of_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(of_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def _tidy() -> None:
+    """Give memory that a finished partition left behind back to the system: workers are kept for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of about max_bytes of the given binary column, one row at least."""
     for batch in batches:
@@ -111,6 +121,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 <<
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+    _tidy()
 
 
 # --- words and hashes of a batch of texts, without a loop over words ---------------------------------

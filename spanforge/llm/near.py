@@ -31,7 +31,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: About so many texts are looked at for common shingles, and at most so many of those are known. Only time depends on it.
 SAMPLE_DOCS, COMMON = 5_000, 200_000
 #: Rounds of one comparison a member before maps are compared, and the rows of a block of a bucket.
-STAR_ROUNDS, BLOCK_ROWS = 2, 4096
+STAR_ROUNDS, BLOCK_ROWS = 1, 4096
 #: Words of maps that are compared at a time.
 _CELLS = 1 << 22
 #: Texts that share a bucket are found by a broadcast up to so many.

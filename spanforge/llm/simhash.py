@@ -85,18 +85,14 @@ def _signed(x: int) -> int:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links among distinct fingerprints, compared in blocks."""
-    n = len(fps)
-    label = np.arange(n)
+    """Index pairs of a spanning forest of the links among distinct fingerprints."""
+    label = np.arange(len(fps))
     edges = []
-    step = max(1, (1 << 20) // max(n, 1))
-    for i in range(0, n, step):
-        near = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :]) <= radius
-        for a, b in zip(*np.nonzero(near), strict=True):
-            a += i
-            if a < b and label[a] != label[b]:
-                label[label == label[b]] = label[a]
-                edges.append((a, b))
+    for a in range(len(fps) - 1):
+        near = np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius) + a + 1
+        while len(near := near[label[near] != label[a]]):  # each turn unites two trees
+            edges.append((a, int(near[0])))
+            label[label == label[near[0]]] = label[a]
     return edges
 
 
