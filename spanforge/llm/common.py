@@ -23,7 +23,21 @@ LOCAL_SHARED = "/tmp/checkpoints/spanforge"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that a worker gets: texts may be long, and the JVM holds a batch outside of its heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ``BATCH``; lower ones stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +59,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, what)
     schema = df.schema
     df.write.parquet(path)
@@ -133,7 +148,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         tables = []
         for b in (_BASE, _INVERSE):
             out = np.ones(size, np.uint64)
