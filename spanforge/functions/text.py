@@ -13,9 +13,13 @@ LEADER = r".。·•．…⋯\-_"
 TERMINAL = r".!?。！？;；:："
 
 
+#: The characters of WS.
+WS_CHARACTERS = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def trim(x: Column) -> Column:
     """Without white space at either end, all of Unicode's."""
-    return F.regexp_replace(x, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(x, F.lit(WS_CHARACTERS))
 
 
 def compact(x: Column) -> Column:
@@ -180,9 +184,24 @@ def wrap(x: Column, limit: int = 180) -> Column:
 
 
 def split_glued_numbers(x: Column, count: int) -> Column:
-    """The numbers of a cell that holds several, as count parts: by white space, else by decimals of like width; else the cell and blanks."""
-    by_space = F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
-    digits = F.regexp_replace(x, r"\s", "")
-    by_width = F.regexp_extract_all(digits, F.lit(r"(\d{1,3}\.\d)"), F.lit(1))
-    padded = F.concat(F.array(trim(x)), F.array_repeat(F.lit(""), count - 1))
-    return F.when(F.size(by_space) == count, by_space).when(F.size(by_width) == count, by_width).otherwise(padded)
+    """A cell that holds several numbers as ``count`` parts. The first way that gives so many decides: a text said twice; two
+    numbers, the first as short as may be; a decimal point each; numbers with marks between; one digit each. Else the cell
+    and blanks."""
+    s = compact(F.coalesce(x, F.lit("")))
+    n = F.char_length(s)
+    left = lambda i: F.left(s, i)
+    right = lambda i: F.right(s, n - i)
+    number = lambda c: c.rlike(r"\A\d+(?:\.\d+)?\z")
+    out = F.concat(F.array(s), F.array_repeat(F.lit(""), count - 1))
+    out = F.when((n == count) & s.rlike(r"\A\d+\z"), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(1)))).otherwise(out)
+    spaced = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
+    out = F.when(F.size(spaced) == count, spaced).otherwise(out)
+    # from one run of digits with a point to the next; what stands before the first is not part of any
+    pointed = F.regexp_extract_all(s, F.lit(r"(\d+\.(?:(?!\d+\.).)*)"), F.lit(1))
+    out = F.when(F.size(pointed) == count, pointed).otherwise(out)
+    if count == 2:
+        cuts = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & number(left(i)) & number(right(i)))
+        out = F.when(F.size(cuts) > 0, F.array(left(cuts[0]), right(cuts[0]))).otherwise(out)
+        half = F.floor(n / 2).cast("int")
+        out = F.when((n > 0) & (n % 2 == 0) & (left(half) == right(half)), F.array(left(half), left(half))).otherwise(out)
+    return F.when(s == "", F.array_repeat(F.lit(""), count)).otherwise(out)

@@ -71,15 +71,22 @@ def suppression(lines: DataFrame, in_table: Column, in_visual: Column, repeated:
 
 def readability(lines: DataFrame, line: str = "line", limit: int = 420, cell: int = 90) -> DataFrame:
     """The rows with ``issue``, one per finding of a line: dense_breaks, long_line, glued_formula, long_cell."""
-    t = trim(F.col(line))
+    t = F.col("_t")
     math = t.startswith("$$")
     found = F.array(
-        F.when((F.char_length(t) - F.char_length(F.replace(t, F.lit("<br>"), F.lit("")))) / 4 >= 2, "dense_breaks"),
+        F.when(F.contains(t, F.lit("<br>")) & ((F.char_length(t) - F.char_length(F.replace(t, F.lit("<br>"), F.lit("")))) / 4 >= 2), "dense_breaks"),
         F.when((F.char_length(t) > limit) & ~math, "long_line"),
         F.when(F.contains(t, F.lit("$$")) & (t != "$$") & ~(math & t.endswith("$$")), "glued_formula"),
-        F.when(t.rlike(r"\|[^|]*[^|\s][^|]*\|") & F.exists(F.split(t, r"\|"), lambda c: F.char_length(c) >= cell) & (F.regexp_count(t, F.lit(r"\|")) >= 2), "long_cell"),
+        F.when(F.contains(t, F.lit("|")) & _long_cell(t, cell), "long_cell"),
     )
-    return lines.withColumn("issue", F.explode(F.array_compact(found)))
+    return lines.withColumn("_t", trim(F.col(line))).withColumn("issue", F.explode(F.array_compact(found))).drop("_t")
+
+
+def _long_cell(t: Column, cell: int) -> Column:
+    """Two pipes or more, something other than white space between two of them, and a long part."""
+    parts = F.split(t, r"\|")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    return (F.size(parts) >= 3) & F.exists(inner, lambda c: c.rlike(r"\S")) & F.exists(parts, lambda c: F.char_length(c) >= cell)
 
 
 def outside_fences(lines: DataFrame, doc: str, line: str = "line", order: str = "line_no") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Raw pages to Markdown with a ledger, issues and a quality gate; every step lazy, one action per sink."""
+"""Raw pages to Markdown with a ledger, issues and a quality gate; pages are read and rendered once, into tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..operators import coverage, lines
 from ..sinks import markdown
 from ..sources.pages import html_blocks
+from ..store import cut
 
 #: Issues that keep a document from passing.
 BLOCKING = ["garbled", "glued_formula", "section_missing"]
@@ -23,9 +24,9 @@ class Converted:
 
 def convert_pages(pages: DataFrame, page_id: str = "page_id") -> Converted:
     """Pages: page_id, html. Navigation and footers are read into the ledger, not into the output."""
-    read = html_blocks(pages, page_id)
+    read = cut(html_blocks(pages, page_id), "read")
     blocks = read.filter(F.col("area") == "body")
-    md = markdown.render(blocks, page_id)
+    md = cut(markdown.render(blocks, page_id), "rendered")
     ledger = coverage.ledger({"read": read, "body": blocks})
     found = lines.readability(lines.split_lines(md, [page_id], "markdown")).select(page_id, F.col("line_no"), F.col("issue").alias("check"))
     garbled = blocks.filter(P.garbled_score(F.col("text")) > 0.3).select(page_id, F.col("seq").alias("line_no"), F.lit("garbled").alias("check"))
