@@ -30,8 +30,8 @@ def convert_pages(pages: DataFrame, page_id: str = "page_id") -> Converted:
     ledger = coverage.ledger({"read": read, "body": blocks})
     found = lines.readability(lines.split_lines(md, [page_id], "markdown")).select(page_id, F.col("line_no"), F.col("issue").alias("check"))
     garbled = blocks.filter(P.garbled_score(F.col("text")) > 0.3).select(page_id, F.col("seq").alias("line_no"), F.lit("garbled").alias("check"))
-    cut = blocks.filter((F.col("kind") == "para") & P.looks_truncated(F.col("text"))).select(page_id, F.col("seq").alias("line_no"), F.lit("truncated").alias("check"))
-    issues = found.unionByName(garbled).unionByName(cut)
+    torn = blocks.filter((F.col("kind") == "para") & P.looks_truncated(F.col("text"))).select(page_id, F.col("seq").alias("line_no"), F.lit("truncated").alias("check"))
+    issues = found.unionByName(garbled).unionByName(torn)
     gate = coverage.quality_gate(pages, issues, page_id, BLOCKING)
     counts = blocks.groupBy(page_id).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum((F.col("kind") == "heading").cast("long")).alias("n_headings"))
     return Converted(blocks, md, ledger, issues, gate.join(counts, page_id, "left").fillna(0, ["n_blocks", "n_headings"]))
