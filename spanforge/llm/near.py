@@ -23,15 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, join_words, materialize, release, slices, span_hashes, text_of, word_bounds
+from .common import drop_shared, join_words, materialize, mix, release, slices, span_hashes, text_of, word_bounds
 from .graph import components
 from .simhash import RADIUS, links as covering_links, majority_bits
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: About so many texts are looked at for common shingles, and at most so many of those are known. Only time depends on it.
 SAMPLE_DOCS, COMMON = 5_000, 200_000
-#: Rounds of one comparison a member before maps are compared, and the rows of a block of a bucket.
-STAR_ROUNDS, BLOCK_ROWS = 1, 4096
+#: Rounds of one comparison a member before maps are compared, then rounds of one partner a member before all pairs that maps
+#: allow; and the rows of a block of a bucket. Only time depends on them.
+STAR_ROUNDS, MAP_ROUNDS, BLOCK_ROWS = 1, 1, 4096
 #: Words of maps that are compared at a time.
 _CELLS = 1 << 22
 #: Texts that share a bucket are found by a broadcast up to so many.
@@ -142,24 +143,47 @@ def block_pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[n
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int) -> DataFrame:
-    """src, dst of the pairs that maps allow in each bucket; rows: key, c (rows of the key), node, n, label, map.
+def _least_only(pairs: np.ndarray, key: np.ndarray, shared: list[np.ndarray]) -> np.ndarray:
+    """The pairs whose least shared key is that of this bucket: each pair leaves one bucket only."""
+    own = [np.intersect1d(shared[x], shared[y], assume_unique=True)[0] == key[x] for x, y in pairs.tolist()]
+    return pairs[np.array(own, bool)]
 
-    A bucket above block_rows is dealt into blocks, each pair of which is a bucket of its own.
+
+def _one_each(pairs: np.ndarray, node: np.ndarray, turn: int) -> np.ndarray:
+    """Of the pairs, for each row that with the partner of least hash; another hash in each turn."""
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    rank = mix(node.view(np.uint64) + np.uint64(turn))[both[:, 1]]
+    both = both[np.lexsort((rank, both[:, 0]))]
+    return both[np.r_[True, both[1:, 0] != both[:-1, 0]]] if len(both) else both
+
+
+def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int, turn: int | None) -> DataFrame:
+    """src, dst of pairs that maps allow in each bucket; rows: key, c (rows of the key), node, n, label, map, shared (all of the
+    node's keys that are looked at, ascending).
+
+    A bucket above block_rows is dealt into blocks, each pair of which is a bucket of its own. With a turn each node gets one
+    partner a bucket; without, all pairs leave.
     """
     blocks = F.ceil(F.col("c") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
     part = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))))
-    dealt = rows.select("key", "node", "n", "label", "map", part.alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("bucket"), "p.side", "node", "n", "label", "map")
+    columns = ["node", "n", "label", "key", "map", "shared"]
+    dealt = rows.select(*columns, part.alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("bucket"), "p.side", *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; one may cross batches."""
 
+        def lists(column: pa.ListArray) -> list[np.ndarray]:
+            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()
+            return [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+
         def pairs(bucket: pa.RecordBatch) -> pa.RecordBatch:
-            side, node, n, label = (bucket.column(i).to_numpy() for i in range(1, 5))
-            lists = bucket.column(5)
-            flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            found = block_pairs(n, label, side, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], similarity)
+            side, node, n, label, key = (bucket.column(i).to_numpy() for i in range(1, 6))
+            found = block_pairs(n, label, side, [m.view(np.uint64) for m in lists(bucket.column(6))], similarity)
+            if len(found):
+                found = _least_only(found, key, lists(bucket.column(7)))
+            if turn is not None:
+                found = _one_each(found, node, turn)
             x, y = node[found[:, 0]], node[found[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["src", "dst"])
 
@@ -252,7 +276,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = checked(near_prints.union(alike).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     labels = materialize(components(links), "near-labels")
     sized = buckets.join(meant.select("node", "n"), "node")
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + MAP_ROUNDS + 1):
         named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         seed = F.lit(turn)
         # a centre of each bucket that is not yet connected: another one in each round
@@ -267,8 +291,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             apart = mine.filter("label <> to").filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
             good = checked(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct())
         else:
-            rows = named.join(loose.select("key", "c"), "key").join(meant.select("node", "map"), "node")
-            good = checked(_bucket_pairs(rows, similarity, block_rows), possible=True)
+            open_ = materialize(named.join(loose.select("key", "c"), "key").select("key", "c", "node", "n", "label"), "near-open")
+            shared = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("shared"))  # a text's own shingles at most
+            rows = open_.join(meant.select("node", "map").join(shared, "node"), "node")
+            good = checked(_bucket_pairs(rows, similarity, block_rows, turn if turn < STAR_ROUNDS + MAP_ROUNDS else None), possible=True)
+            drop_shared(open_)
         links = links.union(good)
         labels = materialize(components(links), "near-labels")
         drop_shared(loose)

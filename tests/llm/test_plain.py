@@ -687,12 +687,13 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(2, 4096), (0, 4096), (0, 5)])
-def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, rounds, block):
+@pytest.mark.parametrize(("rounds", "maps", "block"), [(2, 1, 4096), (0, 0, 4096), (0, 2, 5)])
+def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, rounds, maps, block):
     import corpus_pipeline as pipeline
     from spanforge.llm import near
 
     monkeypatch.setattr(near, "STAR_ROUNDS", rounds)  # stars first, or maps at once
+    monkeypatch.setattr(near, "MAP_ROUNDS", maps)
     monkeypatch.setattr(near.near_groups, "__defaults__", (*near.near_groups.__defaults__[:-1], block))
     rng = random.Random(27)
     common = sentence(rng, 40)
