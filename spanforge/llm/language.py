@@ -20,7 +20,8 @@ from .common import fold, fresh, slices, table, text_of
 
 #: The bound of the fit, documents to learn from per language; and the longest n-grams.
 LANG_DOCS, MAX_GRAM = 3000, 4
-MEMO_ENTRIES = 400_000
+#: Tokens that a worker remembers; numbers of a table that is kept whole, as a row for each word or n-gram.
+MEMO_ENTRIES, DENSE = 800_000, 1 << 24
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789«»„“”‘’¿¡…–—"
 
@@ -44,16 +45,29 @@ class Model:
         self.first = [np.zeros(1, np.int64)] * (MAX_GRAM + 1)
         self.lang = [np.zeros(0, np.int16)] * (MAX_GRAM + 1)
         self.more = [np.zeros(0)] * (MAX_GRAM + 1)
+        self.dense: list[np.ndarray | None] = [None] * (MAX_GRAM + 1)
+
+    def whole(self) -> None:
+        """Keep tables of up to ``DENSE`` numbers as rows over all languages: faster, and of the same values."""
+        self.dense = [self._rows(n, np.arange(len(self.places[n]))) if len(self.places[n]) * len(self.langs) <= DENSE else None for n in range(MAX_GRAM + 1)]
+
+    def _rows(self, n: int, at: np.ndarray) -> np.ndarray:
+        out = np.repeat(self.unseen[n][None, :], len(at), axis=0)
+        sizes = self.first[n][at + 1] - self.first[n][at]
+        own = np.repeat(np.arange(len(at)), sizes)
+        flat = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[n][at], sizes)
+        out[own, self.lang[n][flat]] += self.more[n][flat]
+        return out
 
-    def log_p(self, n: int, gram: str) -> np.ndarray | None:
-        """In each language; None for what no language has."""
-        at = self.places[n].get(gram)
-        if at is None:
+    def log_p(self, n: int, grams: list[str]) -> np.ndarray | None:
+        """The sum over those that any language has, in each language; None if there are none."""
+        place = self.places[n]
+        at = [place[g] for g in grams if g in place]
+        if not at:
             return None
-        out = self.unseen[n].copy()
-        a, b = self.first[n][at], self.first[n][at + 1]
-        out[self.lang[n][a:b]] += self.more[n][a:b]
-        return out
+        if self.dense[n] is not None:
+            return self.dense[n][at[0]] if len(at) == 1 else self.dense[n][at].sum(axis=0)
+        return self._rows(n, np.array(at)).sum(axis=0)
 
 
 def train(docs: DataFrame, lang_docs: int = LANG_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -113,13 +127,13 @@ def evidence(model: Model, token: str) -> np.ndarray:
     """Log probability of a token's word in each language; zero for a token without letters."""
     word = token.strip(_EDGES)
     if word:
-        known = model.log_p(0, word)
+        known = model.log_p(0, [word])
         if known is not None:
             return known
         for n in range(MAX_GRAM, 0, -1):
-            found = [p for p in (model.log_p(n, g) for g in grams(word, n)) if p is not None]
-            if found:
-                return np.sum(found, axis=0) / n
+            found = model.log_p(n, grams(word, n))
+            if found is not None:
+                return found / n
     return np.zeros(len(model.langs))
 
 
@@ -135,6 +149,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        own.whole()
         memo: dict[str, int] = {}
         vectors = np.zeros((1024, len(langs)))
         for batch in slices(batches, at_text):
