@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK, WS, compact, trim
+from .text import WS, compact, trim
 
 #: Captions; equation numbers.
 CAPTION = r"(?i)\A(?:Figure|Fig\.?|Table|图|表)\s*\d+\s*(?:[|:：.]|\s)"

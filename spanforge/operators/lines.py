@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import WS, repeat_key, trim
+from ..store import cut
 
 #: A key counts as repeated on so many pages, so large a share of pages, with so large a share at one height.
 MIN_PAGES, MIN_SHARE, MIN_AT_HEIGHT, HEIGHT_BUCKET = 3, 0.6, 0.8, 20.0
+#: Keys that are broadcast at most: some 100 bytes each.
+BROADCAST_KEYS = 200_000
 
 
 def split_lines(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -29,9 +32,10 @@ def repeated_keys(
     keyed = lines.select(F.col(doc).alias("doc"), F.col(page).alias("page"), repeat_key(text).alias("key"), F.bround(y / HEIGHT_BUCKET, 0).cast("long").alias("bucket"))
     pages = keyed.groupBy("doc").agg(F.countDistinct("page").alias("doc_pages"))
     keyed = keyed.filter(F.char_length("key") >= 2)
-    heights = keyed.groupBy("doc", "key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # most keys stand on one page: only those on enough are looked at again
+    spread = cut(keyed.groupBy("doc", "key").agg(F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= min_pages), "spread-keys")
+    heights = keyed.join(_small(spread.select("doc", "key")), ["doc", "key"], "left_semi").groupBy("doc", "key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     modal = heights.groupBy("doc", "key").agg(F.sum("n").alias("n_lines"), F.max("n").alias("at_height"))
-    spread = keyed.groupBy("doc", "key").agg(F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     return (
         spread.join(modal, ["doc", "key"])
         .join(pages, "doc")
@@ -40,13 +44,19 @@ def repeated_keys(
     )
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Broadcast if there are few, by count."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def strip_repeated(docs: DataFrame, doc: str, page: str, repeated: DataFrame, text_col: str = "text") -> DataFrame:
     """page, n_lines, n_removed, text: each text without lines whose key is repeated in its document.
 
     Only the places of removed lines are gathered by text; texts are put together where they stand.
     """
     lines = split_lines(docs, [doc, page], text_col).withColumn("key", repeat_key(F.col("line")))
-    gone = lines.join(repeated.select(doc, "key"), [doc, "key"], "left_semi").groupBy(page).agg(F.collect_set("line_no").alias("gone"))
+    known = cut(repeated.select(doc, "key"), "repeated-keys")
+    gone = lines.join(_small(known), [doc, "key"], "left_semi").groupBy(page).agg(F.collect_set("line_no").alias("gone"))
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     return docs.join(gone, page, "left").select(
         page,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import cut
+
 
 def fill_both(rows: DataFrame, key: list[str], order: list[str], columns: list[str], payload: Column) -> DataFrame:
     """Missing values take the last one before, on rows with payload; what is still missing there takes the next one after."""
@@ -88,12 +90,19 @@ def order_violations(blocks: DataFrame, key: list[str], order: str, page: str, y
 def wrap_sample(rows: DataFrame, order: str, size: int, offset: int) -> DataFrame:
     """The rows at (offset + i) modulo their number, i below size, with ``pick`` = i. Keys of ``order`` are distinct.
 
-    Only the rows up to the sample's end are ranked, by a bounded top-k, never the whole table in one task.
+    The keys are sorted over all partitions and numbered in each, from the number of keys in the partitions before: nothing
+    but one count a partition comes to the driver.
     """
     n = rows.count()
     if not n:
         return rows.withColumn("pick", F.lit(0).cast("long")).limit(0)
     size, offset = min(size, n), offset % n
-    ranked = rows.orderBy(order).limit(min(offset + size, n)).withColumn("_i", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
-    pick = F.pmod(F.col("_i") - offset, F.lit(n))
-    return ranked.withColumn("pick", pick).filter(F.col("pick") < size).drop("_i")
+    keys = cut(rows.select(order).orderBy(order).withColumn("_p", F.spark_partition_id()), "sample-keys")
+    starts, before = [], 0
+    for r in keys.groupBy("_p").count().orderBy("_p").collect():
+        starts.append((r["_p"], before))
+        before += r["count"]
+    first = rows.sparkSession.createDataFrame(starts, "_p int, _first long")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)).cast("long") - 1 + F.col("_first")
+    chosen = keys.join(F.broadcast(first), "_p").withColumn("pick", F.pmod(place - offset, F.lit(n))).filter(F.col("pick") < size)
+    return rows.join(chosen.select(order, "pick"), order).select(*rows.columns, "pick")

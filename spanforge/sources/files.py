@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
-    """path, length, content of the files of a folder whose names end so, whatever their case."""
+    """path, length, content of the files of a folder whose names end so, whatever their case, by path."""
     found = spark.read.format("binaryFile").load(folder)
-    return found.filter(F.lower("path").endswith(suffix.lower())).select("path", "length", "content")
+    return found.filter(F.lower("path").endswith(suffix.lower())).select("path", "length", "content").orderBy("path")
 
 
 def decode(files: DataFrame, decoder: Callable, schema: str) -> DataFrame:
