@@ -10,7 +10,6 @@ Windows are told apart by 96 bits of hash over their words' 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
