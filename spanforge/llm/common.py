@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import sys
 import tempfile
 import time
 import uuid
@@ -126,8 +127,14 @@ def _tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of about max_bytes of the given binary column, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20, tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about max_bytes of the given binary column, one row at least.
+
+    Tokenizers that a worker has kept from other work go first, unless ``tokens`` says that they are asked for.
+    """
+    if not tokens and (kept := sys.modules.get(f"{__package__}.tokens")):
+        kept.encoder.cache_clear()
+        _tidy()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer, False).ids
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, tokens=True):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = ids_of(text or b"") + end

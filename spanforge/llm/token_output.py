@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
             rows = [[part], [seq], [write_file(doc_ids, docs, part=part, seq=seq, first=before)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "seq", "payload"])
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, tokens=True):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(ids_of(text), "<u4")
                 docs.append(np.append(ids, np.uint32(end_id)))

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 #: Entries of the cache of a worker: about 150 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 800_000
 #: A border mark that the text itself must not hold.
 _MARK = b"\x01"
 #: Letters or digits, then marks: a border of every pattern.
