@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
-from .tokens import encoder, public_file
+from .tokens import CACHE_ENTRIES, encoder, public_file
 
 SIZE, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -27,11 +27,14 @@ GROUP_SEQUENCES, GROUP_PIECES = 512, 50_000
 ROUNDS = 4
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the ids of each text and end_id, cut only where longer than a sequence."""
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: the ids of each text and end_id, cut only where longer than a sequence.
+
+    ``cache_entries``: pieces that a worker remembers, about 150 bytes each; only time depends on it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, False).ids
+        ids_of = encoder(tokenizer, False, cache_entries).ids
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1, tokens=True):
             rows = []

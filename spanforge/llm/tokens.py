@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 #: Entries of the cache of a worker: about 150 bytes each.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_000_000
 #: A border mark that the text itself must not hold.
 _MARK = b"\x01"
 #: Letters or digits, then marks: a border of every pattern.
@@ -101,9 +101,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, white_space_counts: bool) -> Encoder:
-    """One per worker and file."""
-    return Encoder(path, white_space_counts)
+def encoder(path: str, white_space_counts: bool, entries: int = CACHE_ENTRIES) -> Encoder:
+    """One per worker, file and size of its cache."""
+    return Encoder(path, white_space_counts, entries)
 
 
 def public_file(name: str) -> str:
