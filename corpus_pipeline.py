@@ -15,6 +15,8 @@ from spanforge.llm.tokens import public_file
 
 #: A document stays if its score is at least this.
 QUALITY = 0.5
+#: Pieces that a worker remembers while it packs: few, as the stages before have filled its executor's memory.
+CACHE_ENTRIES = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their place in sequences of at most 4096 tokens."""
-    return packing.pack(materialize(packing.token_pieces(docs, public_file(packing.TOKENIZER)), "pieces"))
+    return packing.pack(materialize(packing.token_pieces(docs, public_file(packing.TOKENIZER), cache_entries=CACHE_ENTRIES), "pieces"))
 
 
 STAGES = [
