@@ -9,7 +9,9 @@ pairs, prefixes find those beyond its radius. All pairs are verified on their wh
 set has a map of parities, four or more for each member, and two maps of one size differ in at most as many bits as the sets
 differ in members; a map folds to half its size. To spare the pairs of large groups, each bucket is first held against one
 of its own members; texts that links connect by then need no pair of their own. What still shares a bucket and is not connected is compared map by map where the bucket stands, in blocks,
-and only pairs whose maps allow the similarity leave it; nothing is capped.
+and only pairs whose maps allow the similarity leave it; nothing is capped. Rows of a bucket carry maps folded to half their size
+and 32-bit names of the node's lesser keys (keys of one name are one bucket); the whole sets are held
+against each other for what leaves it. A bucket is looked at again only if it had more to give.
 """
 
 from __future__ import annotations
@@ -143,9 +145,9 @@ def block_pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[n
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _least_only(pairs: np.ndarray, key: np.ndarray, shared: list[np.ndarray]) -> np.ndarray:
-    """The pairs whose least shared key is that of this bucket: each pair leaves one bucket only."""
-    own = [np.intersect1d(shared[x], shared[y], assume_unique=True)[0] == key[x] for x, y in pairs.tolist()]
+def _least_only(pairs: np.ndarray, lesser: list[np.ndarray]) -> np.ndarray:
+    """The pairs that share no key below that of this bucket: each pair leaves one bucket only."""
+    own = [not len(np.intersect1d(lesser[x], lesser[y], assume_unique=True)) for x, y in pairs.tolist()]
     return pairs[np.array(own, bool)]
 
 
@@ -157,9 +159,15 @@ def _one_each(pairs: np.ndarray, node: np.ndarray, turn: int) -> np.ndarray:
     return both[np.r_[True, both[1:, 0] != both[:-1, 0]]] if len(both) else both
 
 
+def _folded(of_map: str) -> Column:
+    """The map of half the size: its bits tell of the same set."""
+    half = (F.size(of_map) / 2).cast("int")
+    return F.zip_with(F.slice(of_map, F.lit(1), half), F.slice(of_map, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int, turn: int | None) -> DataFrame:
-    """src, dst of pairs that maps allow in each bucket; rows: key, c (rows of the key), node, n, label, map, shared (all of the
-    node's keys that are looked at, ascending).
+    """src, dst of pairs that maps allow in each bucket, and rows that hold only the key of a bucket that has more of them; rows:
+    key, c (rows of the key), node, n, label, map, lesser (those of the node's keys that are looked at and below this one).
 
     A bucket above block_rows is dealt into blocks, each pair of which is a bucket of its own. With a turn each node gets one
     partner a bucket; without, all pairs leave.
@@ -167,7 +175,7 @@ def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int, turn: int
     blocks = F.ceil(F.col("c") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
     part = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))))
-    columns = ["node", "n", "label", "key", "map", "shared"]
+    columns = ["node", "n", "label", "key", "map", "lesser"]
     dealt = rows.select(*columns, part.alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("bucket"), "p.side", *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +189,14 @@ def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int, turn: int
             side, node, n, label, key = (bucket.column(i).to_numpy() for i in range(1, 6))
             found = block_pairs(n, label, side, [m.view(np.uint64) for m in lists(bucket.column(6))], similarity)
             if len(found):
-                found = _least_only(found, key, lists(bucket.column(7)))
-            if turn is not None:
-                found = _one_each(found, node, turn)
+                found = _least_only(found, lists(bucket.column(7)))
+            more = np.zeros(0, np.int32)
+            if turn is not None and len(found):
+                every, found = len(found), np.unique(np.sort(_one_each(found, node, turn), axis=1), axis=0)
+                more = np.unique(key) if len(found) < every else more
             x, y = node[found[:, 0]], node[found[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["src", "dst"])
+            ends = [pa.concat_arrays([pa.array(end), pa.nulls(len(more), pa.int64())]) for end in (np.maximum(x, y), np.minimum(x, y))]
+            return pa.RecordBatch.from_arrays([*ends, pa.concat_arrays([pa.nulls(len(x), pa.int32()), pa.array(more)])], ["src", "dst", "key"])
 
         rest = None
         for batch in batches:
@@ -201,7 +212,7 @@ def _bucket_pairs(rows: DataFrame, similarity: float, block_rows: int, turn: int
         if rest is not None:
             yield pairs(rest)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "src long, dst long").distinct()
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "src long, dst long, key int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -252,7 +263,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of shingles that the same texts share, as those of a passage are, one is enough
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *members).filter("c > 1").groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
-    buckets = materialize(rows.join(shared, "key"), "near-buckets")
+    buckets = materialize(rows.join(shared, "key").select("node", F.hash("key").alias("key")), "near-buckets")
     release(spark)
     # a text of each set; its map for the sets that share a bucket or a fingerprint
     meant = materialize(found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("map").alias("map")), "near-meant")
@@ -276,6 +287,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = checked(near_prints.union(alike).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     labels = materialize(components(links), "near-labels")
     sized = buckets.join(meant.select("node", "n"), "node")
+    more = None
     for turn in range(STAR_ROUNDS + MAP_ROUNDS + 1):
         named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         seed = F.lit(turn)
@@ -283,7 +295,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         centre = named.groupBy("key").agg(
             F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", seed).alias("h"), "node", "n", "label")).alias("top")
         )
-        loose = materialize(centre.filter("low <> high").select("key", "c", F.col("top.node").alias("dst"), F.col("top.n").alias("m"), F.col("top.label").alias("to")), "near-loose")
+        centre = centre.filter("low <> high")
+        if more is not None:  # what other buckets still hold has been compared: labels only grow together
+            centre = centre.join(more, "key", "left_semi")
+        loose = materialize(centre.select("key", "c", F.col("top.node").alias("dst"), F.col("top.n").alias("m"), F.col("top.label").alias("to")), "near-loose")
         if loose.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -292,9 +307,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             good = checked(apart.select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct())
         else:
             open_ = materialize(named.join(loose.select("key", "c"), "key").select("key", "c", "node", "n", "label"), "near-open")
-            shared = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("shared"))  # a text's own shingles at most
-            rows = open_.join(meant.select("node", "map").join(shared, "node"), "node")
-            good = checked(_bucket_pairs(rows, similarity, block_rows, turn if turn < STAR_ROUNDS + MAP_ROUNDS else None), possible=True)
+            shared = open_.groupBy("node").agg(F.collect_set("key").alias("shared"))  # a text's own shingles at most
+            rows = open_.join(meant.select("node", _folded("map").alias("map")).join(shared, "node"), "node")
+            rows = rows.withColumn("lesser", F.filter("shared", lambda other: other < F.col("key"))).drop("shared")
+            found_pairs = materialize(_bucket_pairs(rows, similarity, block_rows, turn if turn < STAR_ROUNDS + MAP_ROUNDS else None), "near-found")
+            good = checked(found_pairs.filter("src is not null").select("src", "dst").distinct(), possible=True)
+            more = found_pairs.filter("src is null").select("key").distinct()
             drop_shared(open_)
         links = links.union(good)
         labels = materialize(components(links), "near-labels")

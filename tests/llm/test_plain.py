@@ -720,6 +720,27 @@ def test_near_stage_finds_planted_copies(spark, docs, monkeypatch, rounds, maps,
     assert kept == set(want.values())
 
 
+def test_near_stage_compares_a_bucket_again_only_if_it_had_more(spark, docs, monkeypatch):
+    import corpus_pipeline as pipeline
+    from spanforge.llm import near
+
+    seen, plain = [], near._bucket_pairs
+
+    def spied(rows, *more):
+        seen.append([(r.node, r.key, len(r.lesser)) for r in rows.select("node", "key", "lesser").collect()])
+        return plain(rows, *more)
+
+    monkeypatch.setattr(near, "_bucket_pairs", spied)
+    monkeypatch.setattr(near, "COMMON", 0)  # no shingle is known to be common
+    rng = random.Random(29)
+    passages = [sentence(rng, 12) for _ in range(6)]
+    rows = [(i, " ".join([sentence(rng, 20), *rng.sample(passages, 3), sentence(rng, 20)])) for i in range(30)]
+    assert pipeline.near_stage(spark, docs(rows), None).count() == 30  # passages in common, no text near another
+    assert len(seen) == 1 and seen[0]
+    # each row names the lesser keys of its text alone
+    assert all(sorted(n for at, _, n in seen[0] if at == node) == list(range(sum(at == node for at, _, _ in seen[0]))) for node in {at for at, _, _ in seen[0]})
+
+
 def test_near_stage_of_nothing(spark, docs):
     import corpus_pipeline as pipeline
 
