@@ -1,15 +1,14 @@
 """A compact file format for token ids: an adaptive context-mixing range coder over independently reset blocks.
 
-Each block of up to ``BLOCK`` ids starts from an empty model, holds its own crc32 and can be read alone (with the head). Blocks are coded
+Each block of up to ``BLOCK`` ids starts from the same model, holds its own crc32 and can be read alone (with the head). Blocks are coded
 side by side, ``LANES`` at a time: every step handles one id of each block with array operations, so the loop runs over
 places in a block, not over ids.
 
-Model of a block, all of it adaptive:
+Model of a block, adaptive above order 0:
 * order 2: the id last seen after the two ids before; order 1: the id last seen after the id before. Each
   prediction has a confidence (how often it was right in a row), and each confidence an estimate of how often
   predictions of that confidence hold.
-* order 0: the frequencies of all ids of the block so far, with one for each id of the file's alphabet before its first
-  (the sums are renewed when the block has grown by a part of itself).
+* order 0: the frequencies of the ids of the file, which its head holds in parts of a power of two.
 * mixing: each order has a weight, one set of weights for each pair of confidences; a weight moves towards the share that
   its order had in predicting the id that came. The probability of a predicted id is the weighted sum of the orders'
   estimates; what is left goes to order 0, from which any id can be coded.
@@ -18,7 +17,8 @@ Coder: a 48-bit low and range, written in 16-bit words, carries ripple into what
 
 File: magic, then numbers of documents, of null document ids (these come first), of ids per block and of distinct ids,
 then the part the file is of, its number there, the ids of the part before it and in it; then per document its id and
-length; the distinct ids, ascending (the alphabet: blocks hold places in it); per block its words and crc32 (of the ids as little-endian unsigned 32-bit integers), then the words of all
+length; the distinct ids, ascending (the alphabet: blocks hold places in it), as steps, and their frequencies, both deflated behind the
+number of bytes; per block its words and crc32 (of the ids as little-endian unsigned 32-bit integers), then the words of all
 blocks, then a crc32 of all that; all little-endian.
 """
 
@@ -30,11 +30,11 @@ from typing import NamedTuple
 
 import numpy as np
 
-MAGIC = b"SFT2"
-#: Ids of a block, and blocks coded side by side at most; lanes times ids of the alphabet at most.
-BLOCK, LANES, _CELLS = 4096, 1024, 1 << 24
-#: What an id counts in order 0, against one of each id before the first; sums are renewed after so many ids, and a part of those so far.
-_COUNT, _RENEW, _RENEW_PART = 8, 64, 8
+MAGIC = b"SFT3"
+#: Ids of a block, and blocks coded side by side at most.
+BLOCK, LANES = 4096, 1024
+#: Frequencies of order 0 sum to two to this power; a larger alphabet takes a larger one, and ranges are renewed before it.
+_ZERO = 20
 _SLOTS1, _SLOTS2 = 2048, 4096
 _FULL, _LOW32 = 1 << 48, (1 << 32) - 1
 _PROB, _ONE = 16, 1 << 16
@@ -42,60 +42,58 @@ _PROB, _ONE = 16, 1 << 16
 _ANY, _PACE, _WEIGH = 1 / 256, 1 / 16, 4
 
 
+class _Zero:
+    """Order 0: the frequency of each id of the alphabet, at least one, and where it begins."""
+
+    def __init__(self, freq: np.ndarray):
+        self.freq = freq.astype(np.int64)
+        self.low = np.cumsum(self.freq) - self.freq
+        self.bits = int(self.freq.sum()).bit_length() - 1
+        self.wide = self.bits > _ZERO  # ranges have 21 bits at least after a chance of 32 in 65536
+
+    def places(self) -> np.ndarray:
+        """The id of each value below the sum."""
+        return np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq)
+
+
+def frequencies(counts: np.ndarray) -> np.ndarray:
+    """Parts of a power of two in proportion to the counts, one at least each."""
+    total = 1 << max(_ZERO, len(counts).bit_length() + 1)
+    share = (total - len(counts)) / max(int(counts.sum()), 1)
+    freq = 1 + np.floor(counts * share).astype(np.int64)
+    while (rest := total - int(freq.sum())) and len(freq):  # what is rounded off goes to the most frequent
+        top = np.argsort(-freq, kind="stable")[: abs(rest)]
+        freq[top] += np.sign(rest)
+    return freq
+
+
 class _Model:
-    """The state of all lanes; encoder and decoder drive it alike. A table slot holds 4 * id + confidence."""
+    """The orders 1 and 2 of all lanes; encoder and decoder drive it alike. A table slot holds 4 * id + confidence."""
 
-    def __init__(self, table: np.ndarray, alphabet: int):
-        """table: the ids by step and lane, known or, when they are read, about to be."""
-        lanes = table.shape[1]
+    def __init__(self, lanes: int):
         lane = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2, self.base4, self.base16 = (lane * n for n in (_SLOTS1, _SLOTS2, 4, 16))
-        self.table1, self.table2 = np.zeros(lanes * _SLOTS1, np.int64), np.zeros(lanes * _SLOTS2, np.int64)
+        self.table1, self.table2 = np.zeros(lanes * _SLOTS1, np.uint32), np.zeros(lanes * _SLOTS2, np.uint32)
         self.right1, self.right2 = np.full(lanes * 4, 1 << 12, np.int64), np.full(lanes * 4, 1 << 12, np.int64)
         self.weight1, self.weight2 = np.full(lanes * 16, 0.4), np.full(lanes * 16, 0.4)
-        self.counts = np.ones((lanes, alphabet), np.int32)
-        width = _width(alphabet)
-        self.halves = [width >> i for i in range(1, width.bit_length())]
-        self.base_counts, self.base_sums = lane * alphabet, lane * width
-        self.sums = np.full((lanes, width), np.iinfo(np.int32).max, np.int32)  # beyond the alphabet above every value
-        self.sums[:, 0] = 0
-        self.flat_sums = self.sums.reshape(-1)
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.table, self.counted = table, 0
-        self.step = self.renew_at = 0
+        self.step = 0
 
     def predict(self) -> None:
-        if self.step == self.renew_at:
-            flat = self.counts.reshape(-1)
-            np.add.at(flat, (self.table[self.counted : self.step] + self.base_counts).reshape(-1), _COUNT)
-            np.cumsum(self.counts, axis=1, out=self.sums[:, 1 : self.counts.shape[1] + 1])
-            self.total, self.counted = self.counts.shape[1] + _COUNT * self.step, self.step
-            self.renew_at += max(_RENEW, self.step // _RENEW_PART)
         near = self.before1 * 40503
         self.at1 = (near >> 3 & _SLOTS1 - 1) + self.base1
         self.at2 = (near + self.before2 * 30011 >> 2 & _SLOTS2 - 1) + self.base2
-        v1, v2 = self.table1[self.at1], self.table2[self.at2]
+        v1, v2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
         self.p1, self.p2, self.c1, self.c2 = v1 >> 2, v2 >> 2, v1 & 3, v2 & 3
         self.e1, self.e2 = self.base4 + self.c1, self.base4 + self.c2
-        self.q1, self.q2 = self.right1[self.e1], self.right2[self.e2]
+        self.q1, self.q2 = self.right1.take(self.e1), self.right2.take(self.e2)
         self.set = self.base16 + (self.c1 << 2) + self.c2
-        self.w1, self.w2 = self.weight1[self.set], self.weight2[self.set]
+        self.w1, self.w2 = self.weight1.take(self.set), self.weight2.take(self.set)
         m1, m2 = (self.w1 * self.q1).astype(np.int64), (self.w2 * self.q2).astype(np.int64)
         both = m1 * (self.p1 == self.p2)  # where the two orders agree their shares add up
         self.f1, self.f2 = m1 - both + 16, m2 + both + 16
         self.f12 = self.f1 + self.f2  # below 65536 by 32: weights are one at most, no estimate exceeds 65472
 
-    def place_of(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Where in the flat sums the id stands whose bounds hold the value, by halving."""
-        at, value = self.base_sums[lane], value.astype(np.int32)
-        for half in self.halves:
-            at += half * (self.flat_sums[at + half] <= value)
-        return at
-
-    def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.flat_sums[at].astype(np.int64)
-        return low, self.flat_sums[at + 1] - low
-
     def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.p1 == ids, self.p2 == ids
         if self.step % _WEIGH == 0:  # each order's share in what came: its weight times the chance it gave
@@ -129,8 +127,8 @@ class _Writer:
         self.low += r * cum
         self.range = r * freq
 
-    def narrow_some(self, lane: np.ndarray, cum: np.ndarray, freq: np.ndarray, total: int) -> None:
-        r = self.range[lane] // total
+    def narrow_some(self, lane: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        r = self.range[lane] >> bits
         self.low[lane] += r * cum
         self.range[lane] = r * freq
 
@@ -173,9 +171,9 @@ class _Reader:
         self.value -= self.r * cum
         self.range = self.r * freq
 
-    def peek_some(self, lane: np.ndarray, total: int) -> np.ndarray:
-        self.r = self.range[lane] // total
-        return np.minimum(self.value[lane] // self.r, total - 1)
+    def peek_some(self, lane: np.ndarray, bits: int) -> np.ndarray:
+        self.r = self.range[lane] >> bits
+        return np.minimum(self.value[lane] // self.r, (1 << bits) - 1)
 
     def take_some(self, lane: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         self.value[lane] -= self.r * cum
@@ -188,26 +186,17 @@ class _Reader:
             self.range[small] <<= 16
 
 
-def _width(alphabet: int) -> int:
-    """The least power of two that holds the sums, one more than the alphabet."""
-    return 1 << max(1, alphabet.bit_length())
-
-
-def _lanes(alphabet: int) -> int:
-    return min(LANES, max(1, _CELLS // _width(alphabet)))
-
-
-def encode_blocks(ids: np.ndarray, alphabet: int, block: int = BLOCK) -> list[bytes]:
-    """The words of each block of ``block`` ids below ``alphabet``; the last is filled up with zeros, which the reader drops."""
+def encode_blocks(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> list[bytes]:
+    """The words of each block of ``block`` ids, places in ``freq``; the last is filled up with zeros, which the reader drops."""
     out = []
-    steps, lanes = min(block, len(ids)), _lanes(alphabet)
-    for a in range(0, len(ids), block * lanes):
-        own = ids[a : a + block * lanes]
+    steps, zero = min(block, len(ids)), _Zero(freq)
+    for a in range(0, len(ids), block * LANES):
+        own = ids[a : a + block * LANES]
         n = -(-len(own) // steps)
         table = np.zeros(n * steps, np.int64)
         table[: len(own)] = own
         table = np.ascontiguousarray(table.reshape(n, steps).T)
-        model, coder = _Model(table, alphabet), _Writer(n, 3 * steps + 16)
+        model, coder = _Model(n), _Writer(n, 4 * steps + 16)
         for x in table:
             model.predict()
             f1, f2 = model.f1, model.f2
@@ -216,23 +205,27 @@ def encode_blocks(ids: np.ndarray, alphabet: int, block: int = BLOCK) -> list[by
             is1 &= ~is2
             esc = ~(is1 | is2)
             coder.narrow((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (_ONE - model.f12))
+            if zero.wide:
+                coder.flush()
             some = np.flatnonzero(esc)
-            coder.narrow_some(some, *model.bounds(model.base_sums[some] + x[some]), model.total)
+            at = x[some]
+            coder.narrow_some(some, zero.low.take(at), zero.freq.take(at), zero.bits)
             coder.flush()
             model.learn(x)
         out += coder.close()
     return out
 
 
-def decode_blocks(payloads: list[bytes], n_ids: int, alphabet: int, block: int = BLOCK) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The ids of blocks that follow each other, the last of which may hold fewer."""
     out = [np.zeros(0, np.int64)]
-    steps, lanes = min(block, n_ids), _lanes(alphabet) if n_ids else 1
-    for a in range(0, len(payloads), lanes):
-        own = payloads[a : a + lanes]
+    steps, zero = min(block, n_ids), _Zero(freq)
+    places = zero.places()
+    for a in range(0, len(payloads), LANES):
+        own = payloads[a : a + LANES]
         lengths = np.array([len(p) // 2 for p in own])
         table = np.empty((steps, len(own)), np.int64)
-        model, coder = _Model(table, alphabet), _Reader(np.frombuffer(b"".join(own), "<u2"), np.cumsum(lengths) - lengths)
+        model, coder = _Model(len(own)), _Reader(np.frombuffer(b"".join(own), "<u2"), np.cumsum(lengths) - lengths)
         for x in table:
             model.predict()
             f1, f2 = model.f1, model.f2
@@ -242,11 +235,13 @@ def decode_blocks(payloads: list[bytes], n_ids: int, alphabet: int, block: int =
             is1 &= ~is2
             esc = ~(is1 | is2)
             coder.take((f2 + esc * f1) * ~is2, is2 * f2 + is1 * f1 + esc * (_ONE - model.f12))
+            if zero.wide:
+                coder.fill()
             x[:] = is2 * model.p2 + is1 * model.p1
             some = np.flatnonzero(esc)
-            at = model.place_of(some, coder.peek_some(some, model.total))
-            x[some] = at - model.base_sums[some]
-            coder.take_some(some, *model.bounds(at))
+            at = places.take(coder.peek_some(some, zero.bits))
+            x[some] = at
+            coder.take_some(some, zero.low.take(at), zero.freq.take(at))
             coder.fill()
             model.learn(x)
         out.append(table.T.ravel())
@@ -276,13 +271,31 @@ def read_head(data: bytes) -> Head:
     return Head(*_HEAD.unpack_from(data)[1:])
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, the place of each id among them, and how often they occur."""
+    if not len(ids) or ids.max() >= max(1 << 20, 4 * len(ids)):
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)
+    alphabet = np.flatnonzero(every)
+    place = np.zeros(len(every), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    return alphabet, place[ids], every[alphabet]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit values by bytes of one rank."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def write_file(doc_ids: list[int | None], documents: list[np.ndarray], block: int = BLOCK, part: int = 0, seq: int = 0, first: int = 0) -> bytes:
     """The documents' ids as one file; null document ids come first."""
     ids = np.concatenate([np.zeros(0, np.int64), *documents])
     nulls = sum(d is None for d in doc_ids)
-    alphabet, ids_in = np.unique(ids, return_inverse=True)
-    words = encode_blocks(ids_in, len(alphabet), block)
-    parts = [_HEAD.pack(MAGIC, len(documents), nulls, block, len(alphabet), part, seq, first, len(ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(d) for d in documents], "<u8").tobytes(), alphabet.astype("<u4").tobytes()]
+    alphabet, ids_in, counts = _distinct(ids)
+    freq = frequencies(counts)
+    words = encode_blocks(ids_in, freq, block)
+    own = zlib.compress(_planes(np.diff(alphabet, prepend=0)) + _planes(freq))
+    parts = [_HEAD.pack(MAGIC, len(documents), nulls, block, len(alphabet), part, seq, first, len(ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(d) for d in documents], "<u8").tobytes(), struct.pack("<I", len(own)), own]
     crcs = [zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
     parts += [np.array([len(w) for w in words], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), *words]
     body = b"".join(parts)
@@ -297,14 +310,18 @@ def read_file(data: bytes) -> tuple[Head, list[int | None], np.ndarray, np.ndarr
     at, n = HEAD_BYTES, head.documents
     doc_ids = [None] * head.nulls + np.frombuffer(data, "<i8", n, at)[head.nulls :].tolist()
     lengths = np.frombuffer(data, "<u8", n, at + 8 * n).astype(np.int64)
-    alphabet = np.frombuffer(data, "<u4", head.alphabet, at + 16 * n).astype(np.int64)
-    at += 16 * n + 4 * head.alphabet
+    at += 16 * n
+    size = struct.unpack_from("<I", data, at)[0]
+    planes = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), np.uint8).reshape(2, 4, head.alphabet)
+    steps, freq = (np.ascontiguousarray(p.T).reshape(-1).view("<u4").astype(np.int64) for p in planes)
+    alphabet = np.cumsum(steps)
+    at += 4 + size
     n_blocks = -(-head.n_ids // head.block)
     sizes = np.frombuffer(data, "<u4", n_blocks, at)
     crcs = np.frombuffer(data, "<u4", n_blocks, at + 4 * n_blocks)
     ends = at + 8 * n_blocks + np.cumsum(sizes, dtype=np.int64)
     payloads = [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    ids = alphabet[decode_blocks(payloads, head.n_ids, head.alphabet, head.block)]
+    ids = alphabet[decode_blocks(payloads, head.n_ids, freq, head.block)]
     for i, crc in enumerate(crcs.tolist()):
         if zlib.crc32(ids[i * head.block : (i + 1) * head.block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")

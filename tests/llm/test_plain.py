@@ -413,6 +413,22 @@ def test_codec_beats_the_entropy_of_single_ids():
     assert bits < 0.85 * single and bits < 8 * len(zlib.compress(np.array(ids, "<u2").tobytes(), 9)) / len(ids)
 
 
+def test_codec_knows_the_frequencies_before_a_block_begins():
+    rng = np.random.default_rng(19)
+    ids = np.minimum(rng.zipf(1.3, 60_000) * 3, 45_000)  # no order but the frequencies
+    counts = np.unique(ids, return_counts=True)[1] / len(ids)
+    single = -(counts * np.log2(counts)).sum()
+    data = codec.write_file([1], [ids], 512)  # blocks too short to learn an alphabet in
+    assert np.array_equal(codec.read_file(data)[3], ids) and 8 * len(data) / len(ids) < 1.25 * single
+
+
+def test_codec_takes_alphabets_wider_than_its_ranges(monkeypatch):
+    monkeypatch.setattr(codec, "_ZERO", 8)
+    ids = np.random.default_rng(20).integers(0, 3000, 5000)
+    assert codec._Zero(codec.frequencies(np.ones(3000))).wide
+    assert np.array_equal(codec.read_file(codec.write_file([1], [ids], 64))[3], ids)
+
+
 def test_token_output(spark, folder):
     rows = [*awkward(), (None, "no id"), (None, None)]  # ids that repeat, a very long text
     sf = folder(rows)
