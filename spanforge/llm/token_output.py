@@ -22,7 +22,23 @@ from .tokens import encoder, public_file
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a file, about: as many blocks as are coded side by side.
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 23
+#: Text that is tokenized at once, about.
+TEXT_BYTES = 1 << 23
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and texts of the rows, about ``TEXT_BYTES`` of text at a time: more text has fewer distinct words to look up."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        n += batch.column(1).nbytes
+        if n >= TEXT_BYTES:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -33,7 +49,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, True).ids
+        ids_of = encoder(tokenizer, True).many
         part = TaskContext.get().partitionId()
         seq, before, n, doc_ids, docs = 0, 0, 0, [], []
 
@@ -41,9 +57,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
             rows = [[part], [seq], [write_file(doc_ids, docs, part=part, seq=seq, first=before)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "seq", "payload"])
 
-        for batch in slices(batches, 1, tokens=True):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids_of(text), "<u4")
+        for own, texts in _gathered(slices(batches, 1, tokens=True)):
+            for doc, ids in zip(own, ids_of(texts), strict=True):
                 docs.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc)
                 n += len(docs[-1])

@@ -8,9 +8,12 @@ space) are encoded whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of the cache of a worker: about 150 bytes each.
 CACHE_ENTRIES = 1_000_000
@@ -18,8 +21,11 @@ CACHE_ENTRIES = 1_000_000
 _MARK = b"\x01"
 #: Letters or digits, then marks: a border of every pattern.
 _TAIL = re.compile(r"( ?[^\W_]+)([.,;:!?|]+)\Z")
+_ENDS = tuple(b".,;:!?|")
 #: White space other than single spaces and single line ends, as far as it is ASCII.
 _RUNS = (b"  ", b"\n\n", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c")
+#: New pieces that are encoded in one call.
+_AT_ONCE = 50
 #: Other white space beside white space.
 _WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -62,6 +68,115 @@ class Pieces(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class Runs:
+    """Pieces of many texts at once, where white space counts: their ids in one array, each piece's place there."""
+
+    def __init__(self, pieces: Pieces):
+        self.whole, self.entries = pieces.whole, pieces.entries
+        self.line_end = np.frombuffer(self.whole("\n"), "<u4")
+        self.words = _word_encoder(pieces.tokenizer) if len(self.line_end) == 1 else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.used = 0
+        self.ids, self.start, self.size = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece; the pieces are distinct."""
+        if len(self.index) >= self.entries:
+            self.clear()
+        found = list(map(self.index.get, pieces))
+        if None in found:
+            self._learn([p for p, i in zip(pieces, found, strict=True) if i is None])
+            found = [self.index[p] if i is None else i for p, i in zip(pieces, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        tails = {p: [part.encode() for part in tail.groups()] for p in new if p and p[-1] in _ENDS and (tail := _TAIL.match(p.decode()))}
+        plain = [p for p in dict.fromkeys([*new, *(part for parts in tails.values() for part in parts)]) if p not in tails and p not in self.index]
+        # a line end parts what has no white space but a space that it begins with
+        alone = [p for p in plain if not p or b"\n" in p or p.endswith(b" ")] if len(self.line_end) == 1 else plain
+        words = [p for p in plain if p.removeprefix(b" ").isalpha()] if self.words else []
+        others = {*words, *alone}
+        lines = [p for p in plain if p not in others]
+        alone = [*alone, *self._learn_joined(words, self._of_words), *self._learn_joined(lines, self._of_lines)]
+        for p in alone:
+            ids = np.frombuffer(self.whole(p.decode()), "<u4")
+            self._add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        for p, parts in tails.items():
+            at = [self.index[part] for part in parts]
+            ids = np.concatenate([self.ids[self.start[i] : self.start[i] + self.size[i]] for i in at])
+            self._add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+
+    def _learn_joined(self, pieces: list[bytes], ids_of: Callable[[list[bytes]], bytes]) -> list[bytes]:
+        """Takes pieces in, many in a call, their ids parted by a line end's; returns those for which this did not work."""
+        left = []
+        for i in range(0, len(pieces), _AT_ONCE):
+            own = pieces[i : i + _AT_ONCE]
+            ids = np.frombuffer(ids_of(own), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) == len(own):
+                self._add(own, ids, np.append(0, ends[:-1] + 1), ends)
+            else:
+                left += own
+        return left
+
+    def _of_lines(self, pieces: list[bytes]) -> bytes:
+        return self.whole(b"\n".join(pieces).decode())
+
+    def _of_words(self, words: list[bytes]) -> bytes:
+        """ASCII letters, a space before them or not, are one part to the pattern: the model gets them as its pattern's step would give them."""
+        text = b"\n\xc4\x8a\n".join(words).replace(b" ", b"\xc4\xa0").decode()
+        return np.array(self.words.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        n, used = len(self.index), self.used
+        self.ids = _room(self.ids, used + len(ids))
+        self.start, self.size = _room(self.start, n + len(pieces)), _room(self.size, n + len(pieces))
+        self.ids[used : used + len(ids)] = ids
+        self.start[n : n + len(pieces)] = start + used
+        self.size[n : n + len(pieces)] = end - start
+        self.used += len(ids)
+        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, whose pieces stand between marks."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_binary()), pattern=_MARK)
+        coded = parts.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        at = self.places(pc.binary_join(distinct, pa.scalar(_MARK, pa.large_binary()))[0].as_py().split(_MARK)).take(coded.indices.to_numpy())
+        size = self.size.take(at)
+        ends = np.cumsum(size)
+        place = np.repeat(self.start.take(at) - ends + size, size)
+        place += np.arange(len(place))
+        edges = np.append(0, ends).take(parts.offsets.to_numpy()).tolist()
+        ids = self.ids.take(place)
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _word_encoder(tokenizer):
+    """The same model behind a split at line ends only; none if the tokenizer does more than split bytes by the pattern."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    step = tokenizer.pre_tokenizer
+    known = isinstance(step, pre_tokenizers.ByteLevel) and step.use_regex and not step.add_prefix_space
+    if not known or tokenizer.normalizer or not all(t.special for t in tokenizer.get_added_tokens_decoder().values()):
+        return None
+    words = Tokenizer(tokenizer.model)
+    words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    return words
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, made longer if it has fewer than n elements."""
+    if len(array) >= n:
+        return array
+    longer = np.empty(max(n, 2 * len(array)), array.dtype)
+    longer[: len(array)] = array
+    return longer
+
+
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids, equal to those of the whole text (UTF-8 bytes or a string).
 
@@ -76,6 +191,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.white_space_counts = white_space_counts
         self.pieces = Pieces(self.tokenizer, entries)
+        self.runs = Runs(self.pieces) if white_space_counts else None
 
     def ids(self, text: bytes | str) -> bytes:
         if isinstance(text, str):
@@ -83,21 +199,36 @@ class Encoder:
         if not text:
             return b""
         get = self.pieces.__getitem__
-        classes = text.translate(_CLASSES)
-        latin = b"?" not in classes and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
-        stops = latin and b"!." not in classes and b".." not in classes
+        classes, latin, stops = self._kind(text)
         if not self.white_space_counts:
             # white space only separates, and case is folded
             text = text.lower()
             if stops:
                 text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
             return b"".join(map(get, text.split()))
+        marked = self._marked(text, classes, latin, stops)
+        return self.pieces.whole(text.decode()) if marked is None else b"".join(map(get, marked.split(_MARK)))
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each of the texts, where white space counts."""
+        marked = [self._marked(t, *self._kind(t)) for t in texts]
+        ids = self.runs.of([m or b"" for m in marked])
+        return [np.frombuffer(self.pieces.whole(t.decode()), "<u4") if m is None else x for t, m, x in zip(texts, marked, ids, strict=True)]
+
+    def _kind(self, text: bytes) -> tuple[bytes, bool, bool]:
+        """Classes of its bytes, whether there are only Latin letters, whether stops may be pieces of their own."""
+        classes = text.translate(_CLASSES)
+        latin = b"?" not in classes and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+        return classes, latin, latin and b"!." not in classes and b".." not in classes
+
+    def _marked(self, text: bytes, classes: bytes, latin: bool, stops: bool) -> bytes | None:
+        """The text with a mark at each border; nothing if it has to be encoded whole."""
         if _MARK in text or any(x in text for x in _RUNS) or (not latin and _WIDE.search(text.decode())):
-            return self.pieces.whole(text.decode())
+            return None
         if stops and b" ." not in classes:
             text = text.replace(b". ", b"\x01. ").replace(b", ", b"\x01, ").replace(b".\n", b"\x01.\n").replace(b",\n", b"\x01,\n")
         # a space goes with the word after it, a line end stands alone
-        return b"".join(map(get, text.replace(b" ", b"\x01 ").replace(b"\n", b"\x01\n\x01").split(_MARK)))
+        return text.replace(b" ", b"\x01 ").replace(b"\n", b"\x01\n\x01")
 
 
 @cache

@@ -379,6 +379,25 @@ def test_encoder_equals_whole(name, spaces):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_many_texts_equal_whole_ones(monkeypatch):
+    """Many new words take few calls of the tokenizer; forgetting, and line ends that tell too little, change no id."""
+    own = Encoder(public_file("byte_bpe_50k.json"), True, entries=200)
+    rng = random.Random(11)
+    texts = [*TRICKY, " ", "a ", " b", "\n", "\na", "x;\ny:", "word; wörd! (a.b). it's 12.", *(sentence(rng, 40) for _ in range(20)), *("".join(rng.choice("ab .,;'\n1é|!") for _ in range(30)) for _ in range(300))]
+    plain = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for a, b in ((0, 1), (0, 7), (7, 100), (60, len(texts)), (0, len(texts))):
+        assert [x.tolist() for x in own.many([t.encode() for t in texts[a:b]])] == plain[a:b]
+    monkeypatch.setattr(own.runs, "line_end", np.array([plain[texts.index("a ")][0]]))  # an id that pieces hold
+    own.runs.clear()
+    assert [x.tolist() for x in own.many([t.encode() for t in texts])] == plain
+    fresh, calls = Encoder(public_file("byte_bpe_50k.json"), True), []
+    whole = fresh.runs.whole
+    monkeypatch.setattr(fresh.runs, "whole", lambda t: calls.append(t) or whole(t))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(1000)]
+    assert fresh.many([" ".join(words).encode()])[0].tolist() == own.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert len(calls) <= len(words) / 20
+
+
 @pytest.mark.parametrize("block", [7, 64, 4096])
 def test_codec_round_trip(block, monkeypatch):
     rng = np.random.default_rng(8)
@@ -422,6 +441,16 @@ def test_codec_knows_the_frequencies_before_a_block_begins():
     assert np.array_equal(codec.read_file(data)[3], ids) and 8 * len(data) / len(ids) < 1.25 * single
 
 
+def test_codec_knows_the_weights_before_a_block_begins():
+    rng = np.random.default_rng(21)
+    after, ids = rng.integers(0, 200, 200), [0]
+    for jump, other in zip(rng.random(40_000) < 0.1, rng.integers(0, 200, 40_000), strict=True):
+        ids.append(int(other if jump else after[ids[-1]]))
+    ids = np.array(ids)
+    data = codec.write_file([1], [ids], 256)  # blocks too short to learn weights in
+    assert np.array_equal(codec.read_file(data)[3], ids) and 8 * len(data) / len(ids) < 4.4
+
+
 def test_codec_takes_alphabets_wider_than_its_ranges(monkeypatch):
     monkeypatch.setattr(codec, "_ZERO", 8)
     ids = np.random.default_rng(20).integers(0, 3000, 5000)
