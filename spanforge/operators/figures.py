@@ -25,11 +25,11 @@ def rules_off_text(rules: DataFrame, lines: DataFrame, key: list[str]) -> DataFr
 
 def table_regions(rules: DataFrame, key: list[str], gap: float = RULE_GAP, match: float = 0.6) -> DataFrame:
     """key..., region, y0, y1, x0, x1, hy: rules of like extent, each near to the next, three or more, as a table."""
-    w = Window.partitionBy(*key).orderBy("y", "x0")
+    w = Window.partitionBy(*key).orderBy("y", "x0", "x1")
     common = F.greatest(F.least(F.col("x1"), F.lag("x1").over(w)) - F.greatest(F.col("x0"), F.lag("x0").over(w)), F.lit(0.0))
     widest = F.greatest(F.col("x1") - F.col("x0"), F.lag("x1").over(w) - F.lag("x0").over(w))
     joins = F.coalesce((F.col("y") - F.lag("y").over(w) <= gap) & (common / widest >= match), F.lit(False))
-    numbered = rules.withColumn("_n", (~joins).cast("int")).withColumn("region", F.sum("_n").over(w))
+    numbered = rules.withColumn("_n", (~joins).cast("int")).withColumn("region", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = numbered.groupBy(*key, "region").agg(
         F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_set("y")).alias("hy")
     )
