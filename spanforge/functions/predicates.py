@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, compact, trim
+from .text import WS, compact, once, trim
 
 #: Captions; equation numbers.
 CAPTION = r"(?i)\A(?:Figure|Fig\.?|Table|图|表)\s*\d+\s*(?:[|:：.]|\s)"
@@ -21,13 +21,15 @@ def count_of(x: Column, pattern: str) -> Column:
 def garbled_score(x: Column) -> Column:
     """0 to 1: one if replacement or private-use characters or (cid:n) stand in the text; else the share of control,
     format, private, unassigned and surrogate characters among those beyond ASCII that are not white space."""
-    odd = count_of(x, r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}&&[^\x00-\x7F]]")
-    beyond = count_of(x, rf"[^\x00-\x7F{WS}]")
-    return (
-        F.when(x.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]") | x.rlike(r"\(cid:\d+\)"), 1.0)
-        .when(beyond == 0, 0.0)
-        .otherwise(odd / F.greatest(beyond, F.lit(1)))
-    )
+
+    # what is beyond ASCII is taken out first: little is left to look at
+    def score(rest: Column) -> Column:
+        even = F.regexp_replace(rest, r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}]+", "")
+        beyond = F.char_length(F.regexp_replace(rest, rf"[{WS}]+", ""))
+        lost = rest.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]") | (F.contains(x, F.lit("(cid:")) & x.rlike(r"\(cid:\d+\)"))
+        return F.when(lost, 1.0).when(beyond == 0, 0.0).otherwise((F.char_length(rest) - F.char_length(even)) / F.greatest(beyond, F.lit(1)))
+
+    return once(F.when(F.octet_length(x) == F.char_length(x), "").otherwise(F.regexp_replace(x, r"[\x00-\x7F]+", "")), score)
 
 
 def is_light(color: Column) -> Column:

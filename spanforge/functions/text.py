@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ def trim(x: Column) -> Column:
 
 def compact(x: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(x, rf"[{WS}]+", "")
+    # most of it is spaces, which go without a pattern; printable ASCII is told by one comparison of the class
+    return F.regexp_replace(F.replace(x, F.lit(" "), F.lit("")), rf"[[^!-~]&&[{WS}]]+", "")
 
 
 def compact_signs(x: Column) -> Column:
@@ -39,7 +43,7 @@ def fuzzy(x: Column) -> Column:
 
 def repeat_key(x: Column) -> Column:
     """Compact, with every run of digits as #: page numbers don't tell lines apart."""
-    return F.regexp_replace(compact(x), r"\p{Nd}+", "#")
+    return F.regexp_replace(compact(x), r"[[^!-/:-~]&&\p{Nd}]+", "#")
 
 
 def clean_leaders(x: Column) -> Column:
@@ -95,13 +99,38 @@ def apply_rules(x: Column, rules: list[tuple[str, str]]) -> Column:
     return x
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is computed once a row, however often ``use`` names it: higher-order functions share nothing by themselves."""
+    return F.transform(F.array(x), use)[0]
+
+
 def rule_notes(x: Column, rules: list[tuple[str, str, str]]) -> Column:
     """array of (label, n): how often each rule (pattern, replacement, label) changes the text, in order; those that do."""
-    notes = []
-    for pattern, replacement, label in rules:
-        notes.append(F.struct(F.lit(label).alias("label"), F.regexp_count(x, F.lit(pattern)).alias("n")))
-        x = F.regexp_replace(x, pattern, replacement)
-    return F.filter(F.array(*notes), lambda s: s["n"] > 0)
+
+    plain = [re.escape(p) == p and not set(r) & set("\\$") for p, r, _ in rules]
+
+    def by_turn(i: Column, of: Callable[[int], Column]) -> Column:
+        out = F.when(i == 0, of(0))
+        for k in range(1, len(rules)):
+            out = out.when(i == k, of(k))
+        return out
+
+    def count(t: Column, k: int) -> Column:
+        found = F.regexp_count(t, F.lit(rules[k][0]))
+        return F.when(F.contains(t, F.lit(rules[k][0])), found).otherwise(0) if plain[k] else found
+
+    def change(t: Column, k: int) -> Column:
+        pattern, replacement, _ = rules[k]
+        return F.replace(t, F.lit(pattern), F.lit(replacement)) if plain[k] else F.regexp_replace(t, pattern, replacement)
+
+    if not rules:
+        return F.array().cast("array<struct<label:string,n:int>>")
+    labels = F.array(*[F.lit(label) for _, _, label in rules])
+    note = lambda acc, i: F.struct(F.get(labels, i).alias("label"), by_turn(i, lambda k: count(acc["t"], k)).alias("n"))
+    # each rule sees the text that the one before left: kept in the fold, as no expression is shared in such functions
+    start = F.struct(x.alias("t"), F.array().cast("array<struct<label:string,n:int>>").alias("notes"))
+    step = lambda acc, i: F.struct(by_turn(i, lambda k: change(acc["t"], k)).alias("t"), F.concat(acc["notes"], F.array(note(acc, i))).alias("notes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), start, step, lambda acc: F.filter(acc["notes"], lambda s: s["n"] > 0))
 
 
 #: Repairs of recognised text, in order.
@@ -154,33 +183,23 @@ def missing_numbers(source: Column, target: Column, most: int = 80) -> Column:
     return F.filter(numeric_anchors(source, most), lambda t: ~F.exists(spelled(t), lambda v: F.contains(flat, v)))
 
 
-def _packed(pieces: Column, limit: int, gap: str) -> Column:
-    """Pieces put together, ``gap`` between them, while a line stays within the limit; a longer piece is a line of its own."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-
-    def add(acc: Column, piece: Column) -> Column:
-        longer = F.concat(acc["line"], F.lit(gap), piece)
-        return (
-            F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), piece.alias("line")))
-            .when(F.char_length(longer) <= limit, F.struct(acc["done"].alias("done"), longer.alias("line")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(trim(acc["line"]))).alias("done"), piece.alias("line")))
-        )
-
-    lines = F.aggregate(pieces, empty, add, lambda acc: F.concat(acc["done"], F.array(trim(acc["line"]))))
-    return F.filter(lines, lambda x: x != "")
-
-
 def wrap(x: Column, limit: int = 180) -> Column:
     """array of lines of about ``limit`` characters, the text itself if it is within it.
 
-    A text with spaces and fewer ideographs than a fifth is packed by words, any other by what marks end. What has
-    neither is cut at the limit.
+    A text with spaces and fewer ideographs than a fifth is packed by words, any other by what marks end: as many as the
+    limit takes stand in a line, a longer one is a line of its own. What has neither is cut at the limit.
     """
-    by_words = F.contains(x, F.lit(" ")) & (F.regexp_count(x, F.lit(f"[{CJK}]")) < F.char_length(x) * 0.2)
-    words = _packed(F.regexp_extract_all(x, F.lit(rf"([^{WS}]+)"), F.lit(1)), limit, " ")
-    parts = _packed(F.regexp_extract_all(x, F.lit(r"(?s)([^。；;，、+＋=＝:：]+|[。；;，、+＋=＝:：])"), F.lit(1)), limit, "")
+    ideographs = F.when(F.octet_length(x) == F.char_length(x), 0).otherwise(F.char_length(F.regexp_replace(x, f"[^{CJK}]+", "")))
+    by_words = F.contains(x, F.lit(" ")) & (ideographs < F.char_length(x) * 0.2)
+    spaced = trim(F.regexp_replace(x, rf"[[^!-~]&&[{WS}]]+", " "))
+    words = F.regexp_extract_all(spaced, F.lit(rf"(?s)(.{{1,{limit}}}|[^ ]+)(?: |\z)"), F.lit(1))
+    marks = "[。；;，、+＋=＝:：]"
+    pieces = F.regexp_extract_all(x, F.lit(rf"(?s)(.{{1,{limit}}}(?:(?={marks})|(?<={marks})|\z)|[^{marks[1:]}+)"), F.lit(1))
+    parts = F.filter(F.transform(pieces, trim), lambda p: p != "")
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1)), F.lit(limit)), lambda at: F.substring(x, at, F.lit(limit)))
-    return F.when(F.char_length(x) <= limit, F.array(x)).when(by_words & (F.size(words) > 0), words).when(F.size(parts) > 1, parts).otherwise(F.filter(cut, lambda c: c != ""))
+    by_marks = once(parts, lambda p: F.when(F.size(p) > 1, p).otherwise(F.filter(cut, lambda c: c != "")))
+    packed = F.when(by_words, once(words, lambda p: F.when(F.size(p) > 0, p).otherwise(by_marks))).otherwise(by_marks)
+    return F.when(F.char_length(x) <= limit, F.array(x)).otherwise(packed)
 
 
 def split_glued_numbers(x: Column, count: int) -> Column:
