@@ -10,9 +10,12 @@ from ..functions import text as T
 
 def missing_terms(pairs: DataFrame, terms: list[str], source: str, target: str) -> Column:
     """Terms seen in the source and, in no spelling, in the target; terms the source lacks are not required."""
-    listed = F.array(*[F.lit(t) for t in terms])
+    if not terms:
+        return F.array().cast("array<string>")
     a, b = T.compact_signs(F.col(source)), T.compact_signs(F.col(target))
-    return F.filter(listed, lambda t: F.contains(a, T.compact_signs(t)) & ~T.covers(b, t))
+    # both texts once a row, not once a term and spelling
+    missing = lambda s, t: F.contains(s["a"], T.compact_signs(t)) & ~T.covers(s["b"], t)
+    return T.once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.array_compact(F.array(*[F.when(missing(s, F.lit(t)), F.lit(t)) for t in terms])))
 
 
 def region_issues(regions: DataFrame, markdown: DataFrame, doc: str, risk: Column, anchors: Column, min_missing: int = 1, most: int = 20) -> DataFrame:
