@@ -72,11 +72,13 @@ def paragraphs(rows: DataFrame, pages: DataFrame, key: list[str] = KEY) -> DataF
     last = lambda c: F.lag(c).over(w)
     apart = F.col("y0") - last("y1") > F.col("h") * PARA_GAP
     opens = F.col("_head") | F.col("_alone") | F.col("text").rlike(LIST_START) | last("row").isNull() | apart
-    seen = seen.withColumn("_opens", F.coalesce(opens, F.lit(True)))
+    # five tables are built on these rows and two on those that are kept
+    seen = cut(seen.withColumn("_opens", F.coalesce(opens, F.lit(True))), "page-rows")
     # what follows a heading, a line of the contents or their title opens too, bare page numbers in between or not
     kept = seen.filter(~F.col("_skip"))
     closed = F.coalesce(F.lag(F.col("_head") | F.col("_alone")).over(w) | (F.lag("_part").over(w) != F.col("_part")), F.lit(False))
     kept = kept.withColumn("_opens", F.col("_opens") | closed).withColumn("_para", F.sum(F.col("_opens").cast("int")).over(here))
+    kept = cut(kept, "page-rows-kept")
     # a paragraph is closed by the row that opens the next, in or out of the contents by then; a title closes it as it was
     titles = seen.filter("_title").select(*key, F.col("row").alias("_t"), F.lag("_after").over(w).alias("_was"))
     ends = kept.groupBy(*key, "_para").agg(
