@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import by_key
+
 
 def merge(intervals: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
     """key..., start, end, n: closed intervals that touch or overlap made one."""
     w = Window.partitionBy(*key).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1))
+    marked = by_key(intervals, key).withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1))
     return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
@@ -20,9 +22,12 @@ def uncovered(merged: DataFrame, key: list[str], start: str, end: str, low: Colu
     low and high are expressions over the rows of a key (the same for all of them).
     """
     w = Window.partitionBy(*key).orderBy(start)
-    inner = merged.withColumn("gap_start", F.greatest(F.coalesce(F.lag(end).over(w), low), low)).select(*key, "gap_start", F.least(F.col(start), high).alias("gap_end"))
-    last = merged.groupBy(*key).agg(F.max(F.struct(F.col(end).alias("e"), high.alias("h"))).alias("m")).select(*key, F.col("m.e").alias("gap_start"), F.col("m.h").alias("gap_end"))
-    return inner.unionByName(last).filter(F.col("gap_end") - F.col("gap_start") >= min_gap)
+    gap = lambda a, b: F.struct(a.alias("gap_start"), b.alias("gap_end"))
+    inner = gap(F.greatest(F.coalesce(F.lag(end).over(w), low), low), F.least(F.col(start), high))
+    # the last interval of a key has the greatest end; what follows it is told in the same pass
+    last = F.when(F.lead(F.lit(1)).over(w).isNull(), gap(F.max(end).over(Window.partitionBy(*key)), high))
+    found = merged.select(*key, F.array(inner, last).alias("_gaps")).select(*key, F.explode("_gaps").alias("_gap"))
+    return found.select(*key, "_gap.gap_start", "_gap.gap_end").filter(F.col("gap_end") - F.col("gap_start") >= min_gap)
 
 
 def covered_share(rows: DataFrame, bands: DataFrame, key: list[str], row_id: str, y0: str, y1: str, b0: str, b1: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input files behind a task of a step that sorts and groups in memory.
+PART_BYTES = 8 << 20
+
+
+def by_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """The frame dealt by key over as many parts as its input files want, so that a task's memory does not grow with the
+    input; small or unknown inputs are left to the planner."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = math.ceil(sum(s for s in sizes if s < 1 << 50) / PART_BYTES)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *key) if n > 1 else df
