@@ -13,6 +13,8 @@ from ..store import cut
 MIN_PAGES, MIN_SHARE, MIN_AT_HEIGHT, HEIGHT_BUCKET = 3, 0.6, 0.8, 20.0
 #: Keys that are broadcast at most: some 100 bytes each.
 BROADCAST_KEYS = 200_000
+#: Hashes that are broadcast at most: some 30 bytes each.
+BROADCAST_HASHES = 1_000_000
 
 
 def split_lines(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -20,6 +22,11 @@ def split_lines(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     return docs.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
+def keyed_lines(lines: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """keep..., key: the table of the lines' keys. They cost a look at every character, so they are made once, for all that asks."""
+    return cut(lines.select(*keep, repeat_key(text).alias("key")), "line-keys")
+
+
 def repeated_keys(
     lines: DataFrame, doc: str, page: str, y: Column, text: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_at_height: float = MIN_AT_HEIGHT
 ) -> DataFrame:
@@ -29,12 +36,23 @@ def repeated_keys(
     half-even rounding. The share at the modal height counts lines over distinct pages. Documents of fewer than
     min_pages pages have no repeated keys.
     """
-    keyed = lines.select(F.col(doc).alias("doc"), F.col(page).alias("page"), repeat_key(text).alias("key"), F.bround(y / HEIGHT_BUCKET, 0).cast("long").alias("bucket"))
+    own = lines.select(F.col(doc).alias("doc"), F.col(page).alias("page"), y.alias("y"), text.alias("text"))
+    found = repeated_of(keyed_lines(own, F.col("text"), ["doc", "page", "y"]), "doc", "page", F.col("y"), min_pages, min_share, min_at_height)
+    return found.withColumnRenamed("doc", doc)
+
+
+def repeated_of(keyed: DataFrame, doc: str, page: str, y: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_at_height: float = MIN_AT_HEIGHT) -> DataFrame:
+    """As ``repeated_keys``, for a table of lines that has their keys."""
+    keyed = keyed.select(F.col(doc).alias("doc"), F.col(page).alias("page"), "key", F.bround(y / HEIGHT_BUCKET, 0).cast("long").alias("bucket"))
     pages = keyed.groupBy("doc").agg(F.countDistinct("page").alias("doc_pages"))
-    keyed = keyed.filter(F.char_length("key") >= 2)
-    # most keys stand on one page: only those on enough are looked at again
-    spread = cut(keyed.groupBy("doc", "key").agg(F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= min_pages), "spread-keys")
-    heights = keyed.join(_small(spread.select("doc", "key")), ["doc", "key"], "left_semi").groupBy("doc", "key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    keyed = keyed.filter(F.col("doc").isNotNull() & (F.char_length("key") >= 2))
+    # most keys stand on one page. Those on enough are told by hashes first, which are short; two keys of one hash are both looked at
+    hashed = keyed.withColumn("hash", F.xxhash64("doc", "key"))
+    often = cut(hashed.groupBy("hash").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= min_pages).select("hash"), "spread-hashes")
+    if often.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        keyed = hashed.join(F.broadcast(often), "hash", "left_semi").drop("hash")
+    spread = keyed.groupBy("doc", "key").agg(F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+    heights = keyed.groupBy("doc", "key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     modal = heights.groupBy("doc", "key").agg(F.sum("n").alias("n_lines"), F.max("n").alias("at_height"))
     return (
         spread.join(modal, ["doc", "key"])
@@ -49,14 +67,16 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def strip_repeated(docs: DataFrame, doc: str, page: str, repeated: DataFrame, text_col: str = "text") -> DataFrame:
+def strip_repeated(docs: DataFrame, doc: str, page: str, repeated: DataFrame, text_col: str = "text", keyed: DataFrame | None = None) -> DataFrame:
     """page, n_lines, n_removed, text: each text without lines whose key is repeated in its document.
 
-    Only the places of removed lines are gathered by text; texts are put together where they stand.
+    keyed: doc, page, line_no, key of the texts' lines, if they are there. Only the places of removed lines are gathered
+    by text; texts are put together where they stand.
     """
-    lines = split_lines(docs, [doc, page], text_col).withColumn("key", repeat_key(F.col("line")))
+    if keyed is None:
+        keyed = keyed_lines(split_lines(docs, [doc, page], text_col), F.col("line"), [doc, page, "line_no"])
     known = cut(repeated.select(doc, "key"), "repeated-keys")
-    gone = lines.join(_small(known), [doc, "key"], "left_semi").groupBy(page).agg(F.collect_set("line_no").alias("gone"))
+    gone = keyed.join(_small(known), [doc, "key"], "left_semi").groupBy(page).agg(F.collect_set("line_no").alias("gone"))
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     return docs.join(gone, page, "left").select(
         page,
@@ -127,4 +147,4 @@ def wrap_lines(lines: DataFrame, wrapped: Column, doc: str) -> DataFrame:
     return lines.select(doc, "line_no", F.posexplode(wrapped).alias("part", "line"))
 
 
-__all__ = ["WS", "outside_fences", "paragraphs", "readability", "repeated_keys", "split_lines", "strip_repeated", "suppression", "wrap_lines"]
+__all__ = ["WS", "keyed_lines", "outside_fences", "paragraphs", "readability", "repeated_keys", "repeated_of", "split_lines", "strip_repeated", "suppression", "wrap_lines"]

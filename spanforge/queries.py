@@ -40,17 +40,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_lines(_t(spark, sf_dir, "documents"), ["source", "doc_id"])
 
 
-def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _lines(spark, sf_dir)
-    return lines.repeated_keys(split, "source", "doc_id", F.col("line_no"), F.col("line"), min_pages=3, min_share=0.0)
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.keyed_lines(_lines(spark, sf_dir), F.col("line"), ["source", "doc_id", "line_no"])
+
+
+def _repeated(keyed: DataFrame) -> DataFrame:
+    return lines.repeated_of(keyed, "source", "doc_id", F.col("line_no"), min_pages=3, min_share=0.0)
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeated(spark, sf_dir)
+    return _repeated(_keyed(spark, sf_dir))
 
 
 def strip_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.strip_repeated(_t(spark, sf_dir, "documents"), "source", "doc_id", _repeated(spark, sf_dir))
+    keyed = _keyed(spark, sf_dir)
+    out = lines.strip_repeated(_t(spark, sf_dir, "documents"), "source", "doc_id", _repeated(keyed), keyed=keyed)
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
