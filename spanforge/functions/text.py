@@ -41,9 +41,15 @@ def fuzzy(x: Column) -> Column:
     return F.regexp_replace(x, rf"[^0-9A-Za-z{CJK}]", "")
 
 
+#: What a key may have to lose: anything but spaces and Latin-1 that is neither white space nor a digit. Single characters, as Java
+#: tells those below 256 by one look at a table, and a range by a call for each class that it stands in.
+_NOT_PLAIN = "[^" + "".join(rf"\x{{{c:X}}}" for c in range(256) if c == 32 or not (chr(c) in WS_CHARACTERS or chr(c).isdecimal())) + "]"
+
+
 def repeat_key(x: Column) -> Column:
     """Compact, with every run of digits as #: page numbers don't tell lines apart."""
-    return F.regexp_replace(compact(x), r"[[^!-/:-~]&&\p{Nd}]+", "#")
+    # most lines only lose their spaces, and are looked at once
+    return F.when(x.rlike(_NOT_PLAIN), F.regexp_replace(compact(x), r"[[^!-/:-~]&&\p{Nd}]+", "#")).otherwise(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def clean_leaders(x: Column) -> Column:
