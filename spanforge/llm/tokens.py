@@ -7,9 +7,11 @@ space) are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,12 @@ _TAIL = re.compile(r"( ?[^\W_]+)([.,;:!?|]+)\Z")
 _ENDS = tuple(b".,;:!?|")
 #: White space other than single spaces and single line ends, as far as it is ASCII.
 _RUNS = (b"  ", b"\n\n", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c")
-#: New pieces that are encoded in one call.
-_AT_ONCE = 50
+#: New pieces that are encoded as one text, and such texts that are encoded in one call.
+_AT_ONCE, _TEXTS = 50, 100
+#: A word of ASCII and Latin-1 letters, with a space before it or not: one part to the pattern of byte-level files.
+_LATIN_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The signs that byte-level files have for bytes, and one for the line end between words.
+_SIGNS = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])} | {0: "\u010a", 10: "\n"}
 #: Other white space beside white space.
 _WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -44,6 +50,25 @@ def _classes() -> bytes:
 
 
 _CLASSES = _classes()
+#: Kinds of bytes: space or line end; ASCII letter or digit; ASCII mark; what a text with borders must not hold; lead byte of a sign
+#: beyond ASCII and Latin-1's letters; second byte of a letter of Latin-1.
+_BLANK, _ALNUM, _SIGN, _ODD, _WIDER, _REST = (np.uint8(1 << k) for k in range(6))
+
+
+def _kinds() -> np.ndarray:
+    table = np.zeros(256, np.uint8)
+    table[33:127] = _SIGN
+    table[[c for c in range(128) if chr(c).isalnum()]] = _ALNUM
+    table[[32, 10]] = _BLANK
+    table[[1, 9, 11, 12, 13]] = _ODD
+    table[0x80:0xC0] = _REST
+    table[[0x97, 0xB7]] = 0  # the signs of multiplication and division
+    table[0xC2:] = _WIDER
+    table[0xC3] = 0
+    return table
+
+
+_KINDS = _kinds()
 
 
 class Pieces(dict):
@@ -72,7 +97,7 @@ class Runs:
     """Pieces of many texts at once, where white space counts: their ids in one array, each piece's place there."""
 
     def __init__(self, pieces: Pieces):
-        self.whole, self.entries = pieces.whole, pieces.entries
+        self.whole, self.entries, self.tokenizer = pieces.whole, pieces.entries, pieces.tokenizer
         self.line_end = np.frombuffer(self.whole("\n"), "<u4")
         self.words = _word_encoder(pieces.tokenizer) if len(self.line_end) == 1 else None
         self.clear()
@@ -82,10 +107,16 @@ class Runs:
         self.used = 0
         self.ids, self.start, self.size = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def shorten(self) -> None:
+        """Only the pieces that came first stay, a fourth of what is kept at most: frequent ones are mostly among them."""
+        self.index = dict(islice(self.index.items(), self.entries // 4))
+        n = len(self.index)
+        self.used = int((self.start[:n] + self.size[:n]).max(initial=0))
+
     def places(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each piece; the pieces are distinct."""
         if len(self.index) >= self.entries:
-            self.clear()
+            self.shorten()
         found = list(map(self.index.get, pieces))
         if None in found:
             self._learn([p for p, i in zip(pieces, found, strict=True) if i is None])
@@ -94,13 +125,19 @@ class Runs:
 
     def _learn(self, new: list[bytes]) -> None:
         tails = {p: [part.encode() for part in tail.groups()] for p in new if p and p[-1] in _ENDS and (tail := _TAIL.match(p.decode()))}
-        plain = [p for p in dict.fromkeys([*new, *(part for parts in tails.values() for part in parts)]) if p not in tails and p not in self.index]
-        # a line end parts what has no white space but a space that it begins with
-        alone = [p for p in plain if not p or b"\n" in p or p.endswith(b" ")] if len(self.line_end) == 1 else plain
-        words = [p for p in plain if p.removeprefix(b" ").isalpha()] if self.words else []
-        others = {*words, *alone}
-        lines = [p for p in plain if p not in others]
-        alone = [*alone, *self._learn_joined(words, self._of_words), *self._learn_joined(lines, self._of_lines)]
+        plain = [p for p in dict.fromkeys([*new, *(part for parts in tails.values() for part in parts)]) if p not in tails and p not in self.index] if tails else new
+        ascii_words, words, lines, alone = [], [], [], []
+        for p in plain:
+            if self.words and p.removeprefix(b" ").isalpha():
+                ascii_words.append(p)
+            elif self.words and _LATIN_WORD.fullmatch(p):
+                words.append(p)
+            # a line end parts what has no white space but a space that it begins with
+            elif len(self.line_end) != 1 or not p or b"\n" in p or p.endswith(b" "):
+                alone.append(p)
+            else:
+                lines.append(p)
+        alone += self._learn_joined(ascii_words + words, self.words, _as_words) + self._learn_joined(lines, self.tokenizer, _as_lines)
         for p in alone:
             ids = np.frombuffer(self.whole(p.decode()), "<u4")
             self._add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
@@ -109,27 +146,23 @@ class Runs:
             ids = np.concatenate([self.ids[self.start[i] : self.start[i] + self.size[i]] for i in at])
             self._add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
-    def _learn_joined(self, pieces: list[bytes], ids_of: Callable[[list[bytes]], bytes]) -> list[bytes]:
+    def _learn_joined(self, pieces: list[bytes], tokenizer, as_text: Callable[[list[bytes]], str], texts: int = _TEXTS) -> list[bytes]:
         """Takes pieces in, many in a call, their ids parted by a line end's; returns those for which this did not work."""
-        left = []
-        for i in range(0, len(pieces), _AT_ONCE):
-            own = pieces[i : i + _AT_ONCE]
-            ids = np.frombuffer(ids_of(own), "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        left, sep = [], int(self.line_end[0]) if len(self.line_end) else 0
+        for i in range(0, len(pieces), _AT_ONCE * texts):
+            own = pieces[i : i + _AT_ONCE * texts]
+            flat: list[int] = []
+            for coded in tokenizer.encode_batch_fast([as_text(own[k : k + _AT_ONCE]) for k in range(0, len(own), _AT_ONCE)], add_special_tokens=False):
+                flat += coded.ids
+                flat.append(sep)
+            ids = np.array(flat, np.uint32)
+            ends = np.flatnonzero(ids == sep)
             if len(ends) == len(own):
                 self._add(own, ids, np.append(0, ends[:-1] + 1), ends)
             else:
-                left += own
+                left += own if texts == 1 else self._learn_joined(own, tokenizer, as_text, 1)
         return left
 
-    def _of_lines(self, pieces: list[bytes]) -> bytes:
-        return self.whole(b"\n".join(pieces).decode())
-
-    def _of_words(self, words: list[bytes]) -> bytes:
-        """ASCII letters, a space before them or not, are one part to the pattern: the model gets them as its pattern's step would give them."""
-        text = b"\n\xc4\x8a\n".join(words).replace(b" ", b"\xc4\xa0").decode()
-        return np.array(self.words.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _add(self, pieces: list[bytes], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         n, used = len(self.index), self.used
         self.ids = _room(self.ids, used + len(ids))
@@ -140,21 +173,62 @@ class Runs:
         self.used += len(ids)
         self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text, whose pieces stand between marks."""
-        parts = pc.split_pattern(pa.array(texts, pa.large_binary()), pattern=_MARK)
-        coded = parts.flatten().dictionary_encode()
+    def of(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """The ids of each text; none for one that has to be encoded whole."""
+        joined = b"".join(texts)
+        if not joined:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        starts, whole = _starts(np.frombuffer(joined, np.uint8), text_ends, self.words is not None)
+        whole = {i for i, wide in whole.items() if not wide or _WIDE.search(texts[i].decode())}
+        if whole:
+            return [None if i in whole else ids for i, ids in enumerate(self.of([b"" if i in whole else t for i, t in enumerate(texts)]))]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(joined))), pa.py_buffer(joined)]).dictionary_encode()
         distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
         at = self.places(pc.binary_join(distinct, pa.scalar(_MARK, pa.large_binary()))[0].as_py().split(_MARK)).take(coded.indices.to_numpy())
         size = self.size.take(at)
         ends = np.cumsum(size)
         place = np.repeat(self.start.take(at) - ends + size, size)
         place += np.arange(len(place))
-        edges = np.append(0, ends).take(parts.offsets.to_numpy()).tolist()
+        edges = np.append(0, ends).take(np.searchsorted(starts, np.append(0, text_ends))).tolist()
         ids = self.ids.take(place)
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _starts(data: np.ndarray, text_ends: np.ndarray, marks: bool) -> tuple[np.ndarray, dict[int, bool]]:
+    """Where pieces of the joined texts start; and the texts that may have to be encoded whole, by number: whether only for their wide signs.
+
+    A space goes with the word after it, a line end stands alone, and marks do not go with the letters or digits before them.
+    """
+    kinds = _KINDS.take(data)
+    inner = text_ends[(text_ends > 0) & (text_ends < len(data))]
+    begins = (kinds & _BLANK).view(bool)
+    runs = begins[1:] & begins[:-1]
+    runs[inner - 1] = False
+    odd = np.flatnonzero(kinds & _ODD)
+    text_of = lambda places: np.unique(np.searchsorted(text_ends, places, "right")).tolist()
+    whole = dict.fromkeys(text_of(np.flatnonzero(kinds & _WIDER)), True) | dict.fromkeys(text_of(np.concatenate([np.flatnonzero(runs), odd])), False)
+    begins[1:] |= data[:-1] == 10
+    if marks:
+        letter = (kinds & _ALNUM) > 0
+        letter[1:] |= ((kinds[1:] & _REST) > 0) & (data[:-1] == 0xC3)
+        begins[1:] |= letter[:-1] & ((kinds[1:] & _SIGN) > 0)
+    begins[inner] = begins[0] = True
+    return np.flatnonzero(begins), whole
+
+
+def _as_lines(pieces: list[bytes]) -> str:
+    return b"\n".join(pieces).decode()
+
+
+def _as_words(words: list[bytes]) -> str:
+    """Letters, a space before them or not: the model gets them as its pattern's step would give them."""
+    text = b"\n\x00\n".join(words)
+    if text.isascii():
+        return text.replace(b"\x00", b"\xc4\x8a").replace(b" ", b"\xc4\xa0").decode()
+    return text.decode("latin-1").translate(_SIGNS)
+
+
 def _word_encoder(tokenizer):
     """The same model behind a split at line ends only; none if the tokenizer does more than split bytes by the pattern."""
     from tokenizers import Tokenizer, pre_tokenizers
@@ -211,9 +285,7 @@ class Encoder:
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each of the texts, where white space counts."""
-        marked = [self._marked(t, *self._kind(t)) for t in texts]
-        ids = self.runs.of([m or b"" for m in marked])
-        return [np.frombuffer(self.pieces.whole(t.decode()), "<u4") if m is None else x for t, m, x in zip(texts, marked, ids, strict=True)]
+        return [np.frombuffer(self.pieces.whole(t.decode()), "<u4") if x is None else x for t, x in zip(texts, self.runs.of(texts), strict=True)]
 
     def _kind(self, text: bytes) -> tuple[bytes, bool, bool]:
         """Classes of its bytes, whether there are only Latin letters, whether stops may be pieces of their own."""
@@ -234,6 +306,7 @@ class Encoder:
 @cache
 def encoder(path: str, white_space_counts: bool, entries: int = CACHE_ENTRIES) -> Encoder:
     """One per worker, file and size of its cache."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Encoder(path, white_space_counts, entries)
 
 
